@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import canonical, variants
+from ledgerloom.llm import bpe, canonical, forms, nearcopies, packing, reading, variants
 from ledgerloom.operators.skew import salted_lookup
 from ledgerloom.session import cut
 from ledgerloom.sources.tables import latest_load, table
@@ -50,5 +50,89 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return kind(persons, "executive").unionByName(kind(companies, "member"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found}
-ORACLES: dict[str, str] = {}
+def _section_copies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    sections = table(spark, folder, "sections").select("id", "text").dropDuplicates(["id"])
+    members, pairs = nearcopies.near_copies(sections, "id", "text", words=3, at_least=(3, 5), persist=cut)
+    return cut(members), cut(pairs)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of sections that share three fifths of their three-word sequences, copies included."""
+    members, pairs = _section_copies(spark, folder)
+    # one join for both kinds: a class meets itself and the classes it is similar to
+    classes = members.select("id").distinct()
+    links = pairs.unionByName(classes.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    end = lambda e: members.select(F.col("id").alias(e), F.col("key").alias(f"key_{e}"))
+    both = links.join(end("a"), "a").join(end("b"), "b")
+    keep = (F.col("a") < F.col("b")) | (F.col("key_a") < F.col("key_b"))
+    return both.where(keep).select(F.least("key_a", "key_b").alias("section_id_a"), F.greatest("key_a", "key_b").alias("section_id_b"))
+
+
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per section with words enough: its class of equal sets and the number of similar classes."""
+    members, pairs = _section_copies(spark, folder)
+    links = pairs.select("a").unionAll(pairs.select("b")).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("links"))
+    return members.join(links, "id", "left").select(F.col("key").alias("section_id"), F.col("id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Section texts and headings with characters that look plain but are not."""
+    sections = table(spark, folder, "sections")
+    return forms.uneven_text(sections, ["id"], ["text", "heading"]).select(F.col("id").alias("section_id"), "field").distinct()
+
+
+def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """The same values with their one form."""
+    sections = table(spark, folder, "sections")
+    return forms.uneven_text(sections, ["id"], ["text", "heading"]).select(F.col("id").alias("section_id"), "field", "form")
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document."""
+    return bpe.encode(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose decoded ids are their text, which should be all."""
+    documents = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    decoded = bpe.decode(bpe.encode(documents, "doc_id", "text"), "doc_id").withColumnRenamed("text", "decoded")
+    return documents.join(decoded, "doc_id").select("doc_id", (F.col("text") == F.col("decoded")).alias("same"))
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of each document, or of each piece of one beyond the capacity."""
+    sizes = cut(bpe.count_tokens(table(spark, folder, "documents"), "doc_id", "text"))
+    return packing.pack(sizes, "doc_id", "tokens")
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers, tokens and unused space in all."""
+    placed = p8_containers(spark, folder).where("tokens > 0")
+    used = placed.groupBy("container").agg(F.sum("tokens").alias("tokens"))
+    return used.agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.sum(packing.CAPACITY - F.col("tokens")).alias("unused"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Reading level of every prose text."""
+    documents = table(spark, folder, "documents")
+    prose = documents.where(F.col("text").rlike("[^\\s\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]") & ~F.col("doc_type").isin("figures", "fragment"))
+    return reading.reading_levels(prose, "doc_id", "text", "lang", table(spark, folder, "reading_labels"))
+
+
+def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """How many texts there are of each level and document type."""
+    documents = table(spark, folder, "documents").select("doc_id", "doc_type")
+    return documents.join(p9_found(spark, folder), "doc_id").groupBy("doc_type", "level").agg(F.count(F.lit(1)).alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_classes, p4_found, p4_forms, p5_found, p7_ids, p7_round_trip, p8_containers, p8_fill, p9_found, p9_profile)}
+ORACLES = {
+    "p4_found": f"SELECT DISTINCT section_id, field FROM ({forms.sql(['id AS section_id'], ['text', 'heading'], 'sections')})",
+    "p4_forms": f"SELECT section_id, field, form FROM ({forms.sql(['id AS section_id'], ['text', 'heading'], 'sections')})",
+    "p2_found": """
+WITH w AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM sections),
+s AS (SELECT DISTINCT id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS sh FROM (SELECT id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.id < b.id GROUP BY a.id, b.id)
+SELECT c.a AS section_id_a, c.b AS section_id_b FROM c JOIN n x ON x.id = c.a JOIN n y ON y.id = c.b WHERE common * 5 >= (x.n + y.n - common) * 3""",
+}
