@@ -74,15 +74,17 @@ def word_lists(counts: DataFrame) -> tuple[dict[str, dict[str, int]], dict[str,
     Words of stated languages are taken in two steps, so that no task sorts a whole vocabulary; what reaches
     the driver is bounded by the length of the lists. A language without documents has empty lists.
     """
-    totals = {r["lang"]: r["n"] for r in counts.where("word = ''").collect()}
     order = [F.desc("n"), "word"]
-    salted = counts.where("word <> ''").withColumn("_part", F.pmod(F.xxhash64("word"), F.lit(64)))
+    salted = counts.withColumn("_part", F.pmod(F.xxhash64("word"), F.lit(64)))
     some = salted.withColumn("_k", F.row_number().over(W.partitionBy("lang", "_part").orderBy(*order))).where(F.col("_k") <= 2 * LISTS[-1])
     top = some.withColumn("_k", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("_k") <= 2 * LISTS[-1])
+    # the empty word, which counts documents, is the most frequent and so among them
     rows = top.select("lang", "word", "n").collect()
+    totals = {r["lang"]: r["n"] for r in rows if not r["word"]}
     shares: dict[str, dict[str, float]] = {x: {} for x in LANGUAGES}
     for r in rows:
-        shares[r["lang"]][r["word"]] = r["n"] / totals[r["lang"]]
+        if r["word"]:
+            shares[r["lang"]][r["word"]] = r["n"] / totals[r["lang"]]
     ranks: dict[str, dict[str, int]] = {}
     telling: dict[str, dict[str, float]] = {}
     for x, own in shares.items():
