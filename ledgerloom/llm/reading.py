@@ -201,8 +201,10 @@ def reading_levels(df: DataFrame, key: str, text: str, language: str, labels: Da
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([a for a, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.list_(pa.float64()))], [key, "at", "x"])
 
     rated = labels.where(F.col("level").isNotNull()).groupBy(key).agg(F.avg("level").alias("_level"))
-    some = df.select(key, text).join(rated, key).orderBy(F.xxhash64(key), key).limit(LABELLED)
-    known = some.select(key, text).mapInArrow(describe, f"`{key}` {kind}, at int, x array<double>").join(rated, key).select("at", "x", "_level").toPandas()
+    chosen = rated.join(df.select(key), key, "left_semi").orderBy(F.xxhash64(key), key).limit(LABELLED)
+    some = df.select(key, text).join(F.broadcast(chosen), key, "left_semi")  # at most LABELLED keys
+    described = some.mapInArrow(describe, f"`{key}` {kind}, at int, x array<double>")
+    known = described.join(F.broadcast(chosen), key).select("at", "x", "_level").toPandas()
     formula = Formula()
     if len(known) >= 50:
         formula.fit(known["at"].to_numpy(), np.stack(known["x"].to_list()), known["_level"].to_numpy(float))
