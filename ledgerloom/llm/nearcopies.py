@@ -169,12 +169,13 @@ def similar_sets(sets: DataFrame, at_least: tuple[int, int] = (4, 5)) -> DataFra
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(np.ascontiguousarray(wide[:, j])) for j in range(WORDS64)], ["sig", "id", "n", *names])
 
     postings = sets.select("id", "tokens").mapInArrow(index, "sig long, id long, n int, " + ", ".join(f"{w} long" for w in names))
-    a, b = (postings.select(F.col("sig"), *[F.col(c).alias(f"{c}_{e}") for c in ("id", "n", *names)]) for e in "ab")
-    differing = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in names), F.lit(0))
+    # both sides are the same plan, so that the index is made and shuffled once
+    both = postings.alias("a").join(postings.alias("b"), F.col("a.sig") == F.col("b.sig"))
+    differing = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in names), F.lit(0))
     # similarity s needs |a ^ b| <= (1 - s) / (1 + s) * (|a| + |b|), and the shorter at least s times the longer
-    close = differing * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)
-    sized = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
-    pairs = a.join(b, "sig").where((F.col("id_a") < F.col("id_b")) & sized & close).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    close = differing * (den + num) <= (F.col("a.n") + F.col("b.n")) * (den - num)
+    sized = F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num
+    pairs = both.where((F.col("a.id") < F.col("b.id")) & sized & close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     side = lambda e: sets.select(F.col("id").alias(e), F.col("tokens").alias(f"t{e}"))
     checked = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("common"), F.size("ta").alias("n_a"), F.size("tb").alias("n_b"))
     return checked.where(F.col("common") * den >= (F.col("n_a") + F.col("n_b") - F.col("common")) * num)
