@@ -99,13 +99,17 @@ def person_parts(df: DataFrame, column: str) -> DataFrame:
     words = F.filter(F.split(x, r"\s+"), lambda w: (w != "") & ~w.isin(PARTICLES))
     df = df.withColumn("_words", words).withColumn("suffix", suffix)
     n = F.size("_words")
-    return df.select(
+    df = df.select(
         *[c for c in df.columns if c != "_words"],
         F.when(n > 0, F.element_at("_words", -1)).otherwise("").alias("stem"),
         F.when(n > 1, F.element_at("_words", 1)).otherwise("").alias("given"),
         F.when(n > 2, F.substring(F.element_at("_words", 2), 1, 1)).otherwise("").alias("middle"),
         F.array_distinct("_words").alias("tokens"),
     )
+    # looked up once for each spelling, not for each pair
+    forms = F.array_distinct(F.array("given", _known(F.col("given"), SHORT_NAMES), _known(F.col("given"), SECOND_NAMES)))
+    tokens = F.array_distinct(F.transform("tokens", lambda t: _known(t, SHORT_NAMES)))
+    return df.withColumns({"forms": forms, "tokens": tokens})
 
 
 def _grams(stem: Column) -> Column:
@@ -138,19 +142,17 @@ def close(a: Column, b: Column, most: int = 2) -> Column:
 
 
 def same_given(a: Column, b: Column, slips: int = 1) -> Column:
-    """Given names that may be one: equal up to slips, a pet form, or an initial; an absent one contradicts nothing.
+    """Whether given names may be one, by the forms each may stand for: equal up to slips, a pet form, or an initial.
 
-    ``slips`` is 2 where both are slips of a third.
+    An absent name contradicts nothing. ``slips`` is 2 where both are slips of a third.
     """
-    first = lambda x: F.substring(x, 1, 1)
-    forms = lambda x: [x, _known(x, SHORT_NAMES), _known(x, SECOND_NAMES)]
-    result = (a == "") | (b == "")
-    for x in forms(a):
-        for y in forms(b):
-            initial = ((F.length(x) == 1) | (F.length(y) == 1)) & (first(x) == first(y))
-            alike = close(x, y) if slips == 1 else (F.levenshtein(x, y) <= F.least(F.lit(4), F.length(x) - 1, F.length(y) - 1))
-            result = result | initial | ((F.length(x) > 1) & (F.length(y) > 1) & alike)
-    return result
+
+    def alike(x: Column, y: Column) -> Column:
+        initial = ((F.length(x) == 1) | (F.length(y) == 1)) & (F.substring(x, 1, 1) == F.substring(y, 1, 1))
+        near = close(x, y) if slips == 1 else (F.levenshtein(x, y) <= F.least(F.lit(4), F.length(x) - 1, F.length(y) - 1))
+        return (x == "") | (y == "") | initial | ((F.length(x) > 1) & (F.length(y) > 1) & near)
+
+    return F.exists(a, lambda x: F.exists(b, lambda y: alike(x, y)))
 
 
 def token_similarity(a: Column, b: Column) -> Column:
@@ -160,7 +162,7 @@ def token_similarity(a: Column, b: Column) -> Column:
     """
 
     def alike(x: Column, y: Column) -> Column:
-        u, v = _known(x["token"], SHORT_NAMES), _known(y["token"], SHORT_NAMES)
+        u, v = x["token"], y["token"]
         initial = ((F.length(u) == 1) | (F.length(v) == 1)) & (F.substring(u, 1, 1) == F.substring(v, 1, 1))
         edit = 1 - F.levenshtein(u, v) / F.greatest(F.length(u), F.length(v), F.lit(1))
         return F.when(u == v, 1.0).when(initial, 0.9).when(edit >= 0.5, edit).otherwise(0.0)
@@ -224,7 +226,7 @@ def link(spellings: DataFrame, group: list[str], name: str, contradicts, weak, p
 
 def person_contradicts(a: Column, b: Column, slips: int) -> Column:
     middle = (a["middle"] != "") & (b["middle"] != "") & (a["middle"] != b["middle"])
-    return (a["suffix"] != b["suffix"]) | middle | ~same_given(a["given"], b["given"], slips)
+    return (a["suffix"] != b["suffix"]) | middle | ~same_given(a["forms"], b["forms"], slips)
 
 
 def company_contradicts(a: Column, b: Column, slips: int) -> Column:
