@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import pipeline
+from ledgerloom.plans import pipeline, reads
 
-QUERIES = {**pipeline.QUERIES}
-ORACLES = {**pipeline.ORACLES}
+_MODULES = (reads, pipeline)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
