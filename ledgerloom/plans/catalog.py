@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import pipeline, reads
+from ledgerloom.plans import diffs, pipeline, reads
 
-_MODULES = (reads, pipeline)
+_MODULES = (reads, diffs, pipeline)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
