@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import diffs, pipeline, reads, texts
+from ledgerloom.plans import diffs, pipeline, reads, texts, upkeep
 
-_MODULES = (reads, diffs, texts, pipeline)
+_MODULES = (reads, diffs, texts, upkeep, pipeline)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
