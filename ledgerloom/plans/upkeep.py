@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import sequential, upkeep
+from ledgerloom.operators import upkeep
 from ledgerloom.plans.reads import _FILINGS, filings_of
 from ledgerloom.sources.tables import table
 
 KEYS = ["filing_id", "fact_no"]
 FACT = ["id", "filing_id", "fact_no", "observed_value", "verification_status", "updated_at"]
 MICROS = 1_000_000
+STALE_S = 90
 
 
 def _facts(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -104,15 +107,23 @@ def recent_repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def in_flight_gate(spark: SparkSession, folder: str) -> DataFrame:
-    """Of each user's clicks, those that may start a job: none while another runs that is less than 90 seconds old."""
-    schema = "event_id long, user_id long, started boolean"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "event_id"])
-        times = (pdf["at"] / MICROS).tolist()
-        return pdf[["event_id", "user_id"]].assign(started=sequential.gate(times, [None] * len(times)))
-
-    return _events(spark, folder).groupBy("user_id").applyInPandas(run, schema)
+    """Of each user's events, those that may start a job: none while another runs that is less than 90 seconds old.
+
+    Rows stream through in order with the running job as the only state, so no user's events are held at once.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, since = None, None
+        for pdf in batches:
+            started = []
+            for u, at in zip(pdf["user_id"].tolist(), pdf["at"].tolist()):
+                free = u != user or since is None or at - since >= STALE_S * MICROS
+                user, since = u, at if free else since
+                started.append(free)
+            yield pdf[["event_id", "user_id"]].assign(started=started)
+
+    e = _events(spark, folder).select("event_id", "user_id", "at").repartition("user_id").sortWithinPartitions("user_id", "at", "event_id")
+    return e.mapInPandas(run, "event_id long, user_id long, started boolean")
 
 
 def job_states(spark: SparkSession, folder: str) -> DataFrame:
