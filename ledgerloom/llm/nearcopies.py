@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import cut
+
 #: Counters of token frequencies; tokens that share a counter share its count. Bounds what is sent to workers.
 COUNTERS = 1 << 20
 #: Sets that a signature should lead to at most, on average.
@@ -188,7 +190,7 @@ def distinct_sets(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return prints
 
 
-def near_copies(df: DataFrame, key: str, text: str, *, words: int = 5, at_least: tuple[int, int] = (4, 5), persist=lambda df: df) -> tuple[DataFrame, DataFrame]:
+def near_copies(df: DataFrame, key: str, text: str, *, words: int = 5, at_least: tuple[int, int] = (4, 5), persist=cut) -> tuple[DataFrame, DataFrame]:
     """Membership ``key, id`` and pairs ``a, b`` of different sets with similarity ``at_least``.
 
     Texts with equal sets form one class, named by its smallest key; only classes are compared. Null and

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import names
+from ledgerloom.session import cut
 
 Q, E = 2, 3
 #: Least soft similarity of two spellings of one name.
@@ -187,7 +188,7 @@ def weigh(spellings: DataFrame, group: list[str], name: str) -> DataFrame:
     return spellings.join(weighed, [*group, name])
 
 
-def link(spellings: DataFrame, group: list[str], name: str, contradicts, weak, persist=lambda df: df) -> DataFrame:
+def link(spellings: DataFrame, group: list[str], name: str, contradicts, weak, persist=cut) -> DataFrame:
     """Pairs ``name_a < name_b`` of spellings of one entity.
 
     ``spellings`` is distinct by group and name with ``stem``, ``tokens`` and the parts that
@@ -234,16 +235,26 @@ def company_contradicts(a: Column, b: Column, slips: int) -> Column:
     return ~inside
 
 
-def link_persons(df: DataFrame, group: list[str], name: str, persist=lambda df: df) -> DataFrame:
+def _own_names(df: DataFrame, group: list[str], name: str) -> tuple[DataFrame, list[str]]:
+    """Distinct groups and names under names of our own, which no column of the caller can clash with."""
+    own = [f"_group{i}" for i in range(len(group))]
+    columns = [F.col(g).alias(o) for g, o in zip(group, own)] + [F.col(name).alias("_name")]
+    return df.where(F.col(name).isNotNull()).select(*columns).distinct(), own
+
+
+def _named(pairs: DataFrame, group: list[str], own: list[str]) -> DataFrame:
+    return pairs.select(*[F.col(o).alias(g) for g, o in zip(group, own)], "name_a", "name_b")
+
+
+def link_persons(df: DataFrame, group: list[str], name: str, persist=cut) -> DataFrame:
     """Link the spellings of persons; null and empty names link to nothing, repeated rows count once."""
-    spellings = person_parts(df.select(*group, name).where(F.col(name).isNotNull()).distinct(), name)
-    return link(spellings, group, name, person_contradicts, lambda x: F.length(x["given"]) <= 1, persist)
+    distinct, own = _own_names(df, group, name)
+    spellings = person_parts(distinct, "_name")
+    return _named(link(spellings, own, "_name", person_contradicts, lambda x: F.length(x["given"]) <= 1, persist), group, own)
 
 
-def link_companies(df: DataFrame, group: list[str], name: str, universe: DataFrame, persist=lambda df: df) -> DataFrame:
+def link_companies(df: DataFrame, group: list[str], name: str, universe: DataFrame, persist=cut) -> DataFrame:
     """Link the spellings of organisations; null and empty names link to nothing, repeated rows count once."""
-    distinct = df.select(*group, name).where(F.col(name).isNotNull()).distinct()
-    spellings = names.parts(distinct, name, names.sectors_of(universe)).withColumn(
-        "tokens", F.array_distinct(F.concat(F.array("stem"), "sectors", "legal"))
-    )
-    return link(spellings, group, name, company_contradicts, lambda x: F.size(x["sectors"]) == 0, persist)
+    distinct, own = _own_names(df, group, name)
+    spellings = names.parts(distinct, "_name", names.sectors_of(universe)).withColumn("tokens", F.array_distinct(F.concat(F.array("stem"), "sectors", "legal")))
+    return _named(link(spellings, own, "_name", company_contradicts, lambda x: F.size(x["sectors"]) == 0, persist), group, own)
