@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ledgerloom.session import cut
+
 #: Unicode white space, as in the property White_Space (fixed values).
 SPACES = "\\u0009-\\u000D\\u0020\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 BITS = 32
@@ -88,7 +90,7 @@ def copy_differences(
     *,
     leaf_rows: int = 64,
     fan: int = 4,
-    persist=lambda df: df,
+    persist=cut,
 ) -> DataFrame:
     """One row per key and difference: ``keys, field, candidate, oracle``.
 

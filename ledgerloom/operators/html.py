@@ -199,7 +199,7 @@ def sections(df: DataFrame, key: str, html: str, pattern: str, ends: str, **limi
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [{key: k} | s for k, h in zip(pdf[key], pdf[html]) if (s := section_below(h, pattern, ends, **limits))]
+            rows = [(k, *s.values()) for k, h in zip(pdf[key], pdf[html]) if (s := section_below(h, pattern, ends, **limits))]
             yield pd.DataFrame(rows, columns=[key, "heading", "text", "confidence", "method"])
 
     return df.select(key, html).mapInPandas(run, f"{key} {kind}, heading string, text string, confidence double, method string")
@@ -335,7 +335,8 @@ def compensation(df: DataFrame, key: str, html: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([{key: k} | r for k, h in zip(pdf[key], pdf[html]) for r in compensation_rows(h)], columns=columns)
+            rows = [(k, *[r.get(c) for c in columns[1:]]) for k, h in zip(pdf[key], pdf[html]) for r in compensation_rows(h)]
+            yield pd.DataFrame(rows, columns=columns)
 
     schema = f"{key} {kind}, name string, position string, year int, " + ", ".join(f"{c} string" for c in money)
     return df.select(key, html).mapInPandas(run, schema)
