@@ -73,15 +73,19 @@ def metric_facts_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def alias_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    """List entries named in section texts by full or short name: first place and confidence. Words sequences meet aliases in a hash join."""
+    """List entries named in section texts by full or short name: first place and confidence.
+
+    Only words that begin an alias meet the aliases, in a hash join; the rest of the name is compared where they do.
+    """
     clean = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
     u = table(spark, folder, "ticker_universe")
     forms = F.array(F.struct(clean(F.col("name")).alias("text"), F.lit(0.99).alias("confidence")), F.struct(X.company_key(F.col("name")).alias("text"), F.lit(0.96).alias("confidence")))
     alias = u.select("ticker", F.inline(forms)).where(F.size(F.split("text", " ")) >= 2).groupBy("text", "ticker").agg(F.max("confidence").alias("confidence"))
+    alias = alias.select(F.split("text", " ").alias("name"), "ticker", "confidence").withColumn("first", F.get("name", 0))
     s = table(spark, folder, "sections").where("text IS NOT NULL").select("id", T.words(F.col("text")).alias("ws"))
-    grams = s.select("id", F.explode(runs.word_sequences(F.col("ws"), 6)).alias("g")).where("g.words >= 2").select("id", "g.text", "g.place")
-    hits = grams.join(alias, "text")
-    return hits.groupBy(F.col("id").alias("section_id"), "ticker").agg(F.min("place").cast("long").alias("place"), F.max("confidence").cast("double").alias("confidence"))
+    begun = s.select("id", F.posexplode("ws").alias("place", "first")).join(alias, "first")
+    hits = begun.join(s, "id").where(F.slice("ws", F.col("place") + 1, F.size("name")) == F.col("name"))
+    return hits.groupBy(F.col("id").alias("section_id"), "ticker").agg((F.min("place") + 1).cast("long").alias("place"), F.max("confidence").cast("double").alias("confidence"))
 
 
 def event_runs(spark: SparkSession, folder: str, gap_s: int = 600, least: int = 3) -> DataFrame:
