@@ -196,7 +196,7 @@ def link(spellings: DataFrame, group: list[str], name: str, contradicts, weak, p
     two spellings that contradict each other it is linked to neither. Two spellings linked to a third are
     linked unless they contradict each other.
     """
-    parts = persist(weigh(spellings, group, name))
+    parts = persist(weigh(persist(spellings), group, name))  # both are read several times
     side = lambda end: parts.select(*group, F.col(name).alias(f"name_{end}"), F.struct(*[c for c in parts.columns if c not in (*group, name)]).alias(end))
 
     def checked(pairs: DataFrame, slips: int = 1) -> DataFrame:
