@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.skew import salted_lookup
 from ledgerloom.session import cut
 
 #: Counters of token frequencies; tokens that share a counter share its count. Bounds what is sent to workers.
@@ -199,7 +200,8 @@ def near_copies(df: DataFrame, key: str, text: str, *, words: int = 5, at_least:
     prints = persist(distinct_sets(df, key, text, words))
     same = ["n", "h1", "h2"]
     heads = prints.groupBy(*same).agg(F.min("key").alias("id"))
-    members = prints.select("key", *same).join(heads, same).select("key", "id")
-    sets = persist(prints.join(heads, [*same]).where("key = id").select("id", "tokens").dropDuplicates(["id"]))
+    # a text that a third of all rows repeat is one class: its rows are dealt out over many tasks
+    members = salted_lookup(prints.select("key", *same), heads, same).select("key", "id")
+    sets = persist(prints.join(heads.select(F.col("id").alias("key")), "key", "left_semi").select(F.col("key").alias("id"), "tokens").dropDuplicates(["id"]))
     pairs = similar_sets(sets, at_least).select("a", "b")
     return members, pairs
