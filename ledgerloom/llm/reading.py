@@ -2,7 +2,7 @@
 
 Words are ranked per language by the number of documents that contain them. A text is described by the share
 of its words outside the most frequent K words, for lists of several lengths K, and by its average sentence
-length. What level such figures mean is learned from raters' labels, as a sum of small regression trees.
+length. What level such figures mean is learned from raters' labels, as weights and as small regression trees.
 """
 
 from __future__ import annotations
@@ -114,7 +114,7 @@ def figures(text: str, ranks: dict[str, dict[str, int]], telling: dict[str, dict
 class Trees:
     """Least-squares boosting of trees of one depth over binned figures."""
 
-    def __init__(self, rounds: int = 300, depth: int = 4, rate: float = 0.08, bins: int = 32, least: int = 8):
+    def __init__(self, rounds: int = 300, depth: int = 3, rate: float = 0.08, bins: int = 32, least: int = 8):
         self.rounds, self.depth, self.rate, self.bins, self.least = rounds, depth, rate, bins, least
 
     def _bin(self, x: np.ndarray) -> np.ndarray:
@@ -156,11 +156,32 @@ class Trees:
         return out
 
 
+class Weights:
+    """The formula proper: a weighted sum of the shares and the sentence length, and its logarithm, by ridge regression."""
+
+    def __init__(self, ridge: float = 1.0):
+        self.ridge = ridge
+
+    def _columns(self, x: np.ndarray) -> np.ndarray:
+        x = np.c_[x, np.log1p(x[:, -1])]
+        if not hasattr(self, "mean"):
+            self.mean, self.spread = x.mean(0), x.std(0) + 1e-9
+        return np.c_[np.ones(len(x)), np.clip((x - self.mean) / self.spread, -4, 4)]
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> Weights:
+        a = self._columns(x)
+        self.weights = np.linalg.solve(a.T @ a + self.ridge * np.eye(a.shape[1]), a.T @ y)
+        return self
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self._columns(x) @ self.weights
+
+
 class Formula:
-    """A score of 1 to 4 from figures: the published familiar-word formula where no labels are, else fitted trees."""
+    """A score of 1 to 4 from figures: with labels the mean of fitted weights and fitted trees, else the published formula."""
 
     def __init__(self):
-        self.trees: dict[int, Trees] = {}
+        self.fitted: dict[int, tuple[Weights, Trees]] = {}
 
     def fit(self, language: np.ndarray, x: np.ndarray, level: np.ndarray) -> Formula:
         for at in range(len(LANGUAGES)):
@@ -168,17 +189,17 @@ class Formula:
             # too few of a language: learn from all
             use = own if own.sum() >= 50 else np.ones(len(level), bool)
             if use.sum() >= 50:
-                self.trees[at] = Trees().fit(x[use], level[use])
+                self.fitted[at] = Weights().fit(x[use], level[use]), Trees().fit(x[use], level[use])
         return self
 
     def levels(self, language: np.ndarray, x: np.ndarray) -> np.ndarray:
         # familiar-word formula: 15.79 x share of words outside 3,000 + 0.0496 x sentence length, and its bounds
         score = 15.79 * x[:, len(LISTS) - 1] + 0.0496 * x[:, -1]
         out = 1 + (score >= 1.0) + (score >= 2.0) + (score >= 3.0)
-        for at, trees in self.trees.items():
+        for at, (weights, trees) in self.fitted.items():
             own = language == at
             if own.any():
-                out[own] = np.clip(np.floor(trees.predict(x[own]) + 0.5), 1, 4)
+                out[own] = np.clip(np.floor((weights.predict(x[own]) + trees.predict(x[own])) / 2 + 0.5), 1, 4)
         return out
 
 
