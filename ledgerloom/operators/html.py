@@ -217,6 +217,47 @@ def cells(df: DataFrame, key: str, html: str) -> DataFrame:
     return df.select(key, html).mapInPandas(run, f"{key} {kind}, table_no int, row_no int, col_no int, text string")
 
 
+@dataclass(frozen=True)
+class SectionKind:
+    """A kind of section: its heading, the headings that end it once ``after`` characters are there, and its bounds."""
+
+    name: str
+    heading: str
+    ends: str
+    after: int
+    blocks: int
+    chars: int
+    heading_only: bool = False
+    never: str = r"$^"
+
+
+# Headings, ends and bounds of the kinds of section.
+KINDS = [
+    SectionKind("cd_and_a", r"compensation\s*discussion\s*(?:and|&)\s*analysis", r"^(?:(?:people and )?compensation committee report|summary compensation table|pay versus performance|grants of plan-based awards|option exercises and stock vested)$", 4_000, 800, 200_000, True),
+    SectionKind("ceo_pay_ratio", r"\bpay\s+ratio\b|^ratio\s+of\s+.*compensation\s+.*median", r"^(?:pay (?:versus|for) performance|equity compensation plans?|director compensation|outstanding equity awards.*|summary compensation table|proposal\s+\w+.*|certain relationships and related transactions|security ownership.*)$", 600, 300, 60_000),
+    SectionKind("say_on_pay", r"\bsay[\s-]?on[\s-]?pay\b|advisory\s+(?:vote|resolution)\s+(?:on|to\s+approve)\s+.*compensation|approval.*\sof\s+.*executive.*compensation", r"^(?:proposal\s+\d+.*|approval of.*|advisory vote on the frequency.*|report of the audit committee|audit matters|certain relationships and related transactions|director compensation|pay ratio|pay versus performance)$", 400, 120, 25_000, never=r"frequency\s+of"),
+    SectionKind("compensation_committee_report", r"compensation(?:\s+[a-z&, ]+)?\s+committee\s+report$|^report\s+of\s+the\s+.*compensation.*\s+committee$", r"^(?:pay versus performance|summary compensation table|grants of plan-based awards|equity compensation plan.*|outstanding equity awards.*|director compensation|report of the audit committee|audit matters)$", 200, 40, 6_000),
+]
+
+
+def all_sections(df: DataFrame, key: str, html: str, kinds: list[SectionKind] = KINDS) -> DataFrame:
+    """``key, section_type, heading, text, confidence, method`` of every kind that a document has; a bare heading counts only where the kind allows it."""
+    key_kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, h in zip(pdf[key], pdf[html]):
+                for kind in kinds:
+                    rule = f"^(?!.*(?:{kind.never})).*(?:{kind.heading})"
+                    found = section_below(h, rule, kind.ends, after=kind.after, blocks=kind.blocks, chars=kind.chars)
+                    if found and (found["text"] or kind.heading_only):
+                        rows.append((k, kind.name, *found.values()))
+            yield pd.DataFrame(rows, columns=[key, "section_type", "heading", "text", "confidence", "method"])
+
+    return df.select(key, html).mapInPandas(run, f"{key} {key_kind}, section_type string, heading string, text string, confidence double, method string")
+
+
 # Headers of the columns of a compensation table, and words that begin a position.
 COLUMNS = [
     ("name", r"name"),

@@ -327,7 +327,7 @@ def scaled_values(spark: SparkSession, folder: str) -> DataFrame:
     """Observed values read as numbers, both ways, with their kind and their cleaned form."""
     m = table(spark, folder, "metric_facts").select("observed_value").where("observed_value IS NOT NULL").distinct()
     v = F.col("observed_value")
-    return m.select(v, X.half_up(X.scaled_number(v) * 1000).cast("long").alias("scaled"), X.half_up(X.plain_number(v) * 1000).cast("long").alias("plain"), X.value_kind(v).alias("kind"))
+    return m.select(v, X.scaled_number(v).alias("scaled"), X.plain_number(v).alias("plain"), X.value_kind(v).alias("kind"))
 
 
 def canonical_digest(spark: SparkSession, folder: str) -> DataFrame:
@@ -408,7 +408,7 @@ ORACLES = {
     "ticker_search": "WITH u AS (SELECT *, replace(ticker_lower, '.', '-') AS t, name_lower AS n FROM ticker_universe), w AS (SELECT *, CASE WHEN starts_with(n, 'bel') THEN 0 ELSE nullif(list_min(list_filter([instr(n, ' bel'), instr(n, '&bel'), instr(n, '/bel'), instr(n, '-bel')], lambda x: x > 0)), 0) - 1 END AS pos FROM u), s AS (SELECT ticker, name, CASE WHEN t = 'bel' THEN 1000 WHEN starts_with(t, 'bel') THEN 900 - (length(t) - 3) WHEN pos IS NOT NULL THEN 700 - least(pos, 200) WHEN instr(n, 'bel') > 0 THEN 500 - least(instr(n, 'bel') - 1, 200) WHEN contains(t, 'bel') THEN 400 END AS score, CASE WHEN ticker_lower IN (SELECT lower(ticker) FROM companies WHERE ticker IS NOT NULL) THEN 1 ELSE 0 END AS in_db FROM w) SELECT ticker, name, CAST(score AS BIGINT) AS score, CAST(in_db AS BIGINT) AS in_db FROM s WHERE score IS NOT NULL ORDER BY score DESC, in_db DESC, name, ticker LIMIT 10",
     "compare_matrix": f"WITH r AS (SELECT c.id AS company_id, c.name, c.ticker, c.sector, CAST(f.filing_year AS VARCHAR) AS year, f.form_type FROM companies c LEFT JOIN {_RANKED} f ON f.company_id = c.id AND f.rank = 1) " + " UNION ALL ".join(f"SELECT company_id, CAST({i} AS BIGINT) AS axis_no, '{a}' AS axis, {_cell_sql(f'coalesce({a}, chr(8212))')} AS cell FROM r" for i, a in enumerate(("name", "ticker", "sector", "year", "form_type"))),
     "exec_csv": "SELECT DISTINCT id, " + " || ',' || ".join(_cell_sql(c) for c in ("executive_name", "principal_position", "salary", "total")) + " AS line FROM exec_comp_rows",
-    "scaled_values": f"WITH v AS (SELECT DISTINCT observed_value FROM metric_facts WHERE observed_value IS NOT NULL), x AS (SELECT observed_value, {_SCALED} AS m, {num_sql('observed_value')} AS p FROM v) SELECT observed_value, CAST(floor(TRY_CAST(nullif(m.d, '') AS DOUBLE) * CASE lower(m.s) WHEN 'billion' THEN 1e9 WHEN 'million' THEN 1e6 WHEN 'trillion' THEN 1e12 ELSE 1 END * 1000 + 0.5) AS BIGINT) AS scaled, CAST(floor(p * 1000 + 0.5) AS BIGINT) AS plain, CASE WHEN regexp_matches(observed_value, 'percentile', 'i') THEN 'percentile' WHEN contains(observed_value, '$') THEN 'currency' WHEN contains(observed_value, '%') THEN 'percent' ELSE 'other' END AS kind FROM x",
+    "scaled_values": f"WITH v AS (SELECT DISTINCT observed_value FROM metric_facts WHERE observed_value IS NOT NULL), x AS (SELECT observed_value, {_SCALED} AS m, {num_sql('observed_value')} AS p FROM v) SELECT observed_value, TRY_CAST(nullif(m.d, '') AS DOUBLE) * CASE lower(m.s) WHEN 'billion' THEN 1e9::DOUBLE WHEN 'million' THEN 1e6::DOUBLE WHEN 'trillion' THEN 1e12::DOUBLE ELSE 1.0::DOUBLE END AS scaled, p AS plain, CASE WHEN regexp_matches(observed_value, 'percentile', 'i') THEN 'percentile' WHEN contains(observed_value, '$') THEN 'currency' WHEN contains(observed_value, '%') THEN 'percent' ELSE 'other' END AS kind FROM x",
     "canonical_digest": f"SELECT doc_id, sha256(trim(regexp_replace(text, '{_WS}', ' ', 'g'))) AS digest, length(trim(regexp_replace(text, '{_WS}', ' ', 'g'))) AS chars FROM documents WHERE text IS NOT NULL",
     "client_hashes": "SELECT CASE WHEN user_id IS NULL THEN 'anon' ELSE substr(sha256('salt|' || CAST(user_id AS VARCHAR)), 1, 24) END AS client, count(*) AS events FROM events GROUP BY 1",
     "submissions_to_rows": f"SELECT company_id, id AS accession, form_type AS form, row_number() OVER (PARTITION BY company_id ORDER BY filing_date DESC, id DESC) AS place FROM {_FILINGS} WHERE form_type IN ('DEF 14A', 'DEF 14C')",

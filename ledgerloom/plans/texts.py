@@ -177,6 +177,15 @@ def fragment_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return html.nodes(s, "id", "html").groupBy("id", "tag").agg(F.count(F.lit(1)).alias("nodes"))
 
 
+def heading_types(spark: SparkSession, folder: str) -> DataFrame:
+    """Headings read as kinds of section, against the kinds they are stored under."""
+    h = X.collapse(F.lower(F.regexp_replace(F.coalesce("heading", F.lit("")), r"\p{Cf}", "")))
+    kind = F.lit("other")
+    for k in reversed(html.KINDS):
+        kind = F.when(h.rlike(k.heading) & ~h.rlike(k.never), k.name).otherwise(kind)
+    return table(spark, folder, "sections").groupBy("section_type", kind.alias("heading_type")).agg(F.count(F.lit(1)).alias("sections"))
+
+
 def grep_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of documents that state an amount in dollars, with their numbers."""
     d = table(spark, folder, "documents").where("text IS NOT NULL")
@@ -186,9 +195,12 @@ def grep_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (text_search, search_counts, highlight_parts, sentence_counts, section_openers, policy_mentions, policy_facts, metric_facts_found, alias_mentions, event_runs, purchase_after_signup, name_matches, quality_gate, group_overlaps, without_self, panel_verdicts, catalog_reconcile, tag_histogram, fragment_text, fragment_nodes, grep_lines)
+    for f in (text_search, search_counts, highlight_parts, sentence_counts, section_openers, policy_mentions, policy_facts, metric_facts_found, alias_mentions, event_runs, purchase_after_signup, name_matches, quality_gate, group_overlaps, without_self, panel_verdicts, catalog_reconcile, tag_histogram, fragment_text, fragment_nodes, heading_types, grep_lines)
 }
 
+_HEAD = "trim(regexp_replace(lower(regexp_replace(coalesce(heading, ''), '\\p{Cf}', '', 'g')), '[\\t-\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+', ' ', 'g'))"
+_KINDS = "CASE " + " ".join(f"WHEN regexp_matches(h, '{k.heading}') AND NOT regexp_matches(h, '{k.never}') THEN '{k.name}'" for k in html.KINDS) + " ELSE 'other' END"
+
 _Q = "succession plan"
 _CLEAN = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 _WS_LIST = "list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
@@ -216,5 +228,6 @@ SELECT g.id AS section_id, a.ticker, min(g.i) AS place, max(a.confidence) AS con
     "catalog_reconcile": "WITH a AS (SELECT DISTINCT peer_group_id, ticker_resolved AS t FROM peer_group_members WHERE ticker_resolved IS NOT NULL), b AS (SELECT DISTINCT id AS peer_group_id, m.ticker_resolved AS t FROM (SELECT id, unnest(members) AS m FROM peer_groups) WHERE m.ticker_resolved IS NOT NULL) SELECT CASE WHEN b.t IS NULL THEN 'flat only' WHEN a.t IS NULL THEN 'nested only' ELSE 'both' END AS status, count(*) AS n FROM a FULL JOIN b ON a.peer_group_id = b.peer_group_id AND a.t = b.t GROUP BY 1",
     "tag_histogram": "SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(html_fragment), '<([a-z][a-z0-9]*)', 1)) AS tag FROM sections WHERE html_fragment IS NOT NULL) GROUP BY 1",
     "fragment_text": "SELECT id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html_fragment, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '[\\t-\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+', ' ', 'g')) AS plain FROM sections WHERE html_fragment IS NOT NULL",
+    "heading_types": f"SELECT section_type, {_KINDS} AS heading_type, count(*) AS sections FROM (SELECT section_type, {_HEAD} AS h FROM sections) GROUP BY 1, 2",
     "grep_lines": "SELECT doc_id, CAST(i AS BIGINT) AS line_no, length(l[i]) AS chars FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)) WHERE regexp_matches(l[i], '\\$[0-9]')",
 }

@@ -183,6 +183,18 @@ def test_section_below(spark):
     assert html.sections(df, "id", "html", "pay ratio", "^next part").count() == 1
 
 
+def test_all_sections(spark):
+    page = (
+        "<h2>Frequency of Say-on-Pay</h2><p>Other.</p><h2>Proposal 2: Advisory Vote to Approve Executive Compensation</h2><p>" + "We ask for a vote. " * 40 + "</p><h2>Director Compensation</h2><p>No.</p>"
+        "<h1>Compensation Discussion and Analysis</h1><h2>Report of the Compensation Committee</h2><p>We have reviewed it.</p>"
+    )
+    df = spark.createDataFrame([(1, page), (2, None)], "id int, html string")
+    got = {r["section_type"]: (r["heading"], r["text"][:20], r["method"]) for r in html.all_sections(df, "id", "html").collect()}
+    assert got["say_on_pay"] == ("Proposal 2: Advisory Vote to Approve Executive Compensation", "We ask for a vote. W", "exact-heading-and-sibling-blocks")
+    assert got["compensation_committee_report"][1] == "We have reviewed it."
+    assert got["cd_and_a"][0] == "Compensation Discussion and Analysis" and "ceo_pay_ratio" not in got
+
+
 # lists of peers
 
 
