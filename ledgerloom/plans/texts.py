@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import exprs as X
 from ledgerloom.functions import text as T
-from ledgerloom.operators import html, rules, runs
+from ledgerloom.operators import aliases, html, rules, runs
 from ledgerloom.plans.diffs import sentences_sql
 from ledgerloom.plans.reads import _FILINGS, _SHOWN, _key_sql, filings_of
 from ledgerloom.sources.tables import table
@@ -73,7 +73,7 @@ def metric_facts_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def alias_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    """List entries named in section texts by full or short name: first place and confidence.
+    """List entries named in section texts by full or suffix-stripped name of two words or more: first place and confidence. `company_mentions` has every kind of alias.
 
     Only words that begin an alias meet the aliases, in a hash join; the rest of the name is compared where they do.
     """
@@ -88,6 +88,12 @@ def alias_mentions(spark: SparkSession, folder: str) -> DataFrame:
     return hits.groupBy(F.col("id").alias("section_id"), "ticker").agg((F.min("place") + 1).cast("long").alias("place"), F.max("confidence").cast("double").alias("confidence"))
 
 
+def company_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    """Listed companies named in section texts by any kind of alias, none within the place of another."""
+    s = table(spark, folder, "sections").where("text IS NOT NULL").select(F.col("id").alias("section_id"), "text")
+    return aliases.mentions(s, "section_id", "text", table(spark, folder, "ticker_universe"))
+
+
 def event_runs(spark: SparkSession, folder: str, gap_s: int = 600, least: int = 3) -> DataFrame:
     """Runs of a user's events without a gap of more than ten minutes, at least three long."""
     e = table(spark, folder, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
@@ -195,7 +201,7 @@ def grep_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (text_search, search_counts, highlight_parts, sentence_counts, section_openers, policy_mentions, policy_facts, metric_facts_found, alias_mentions, event_runs, purchase_after_signup, name_matches, quality_gate, group_overlaps, without_self, panel_verdicts, catalog_reconcile, tag_histogram, fragment_text, fragment_nodes, heading_types, grep_lines)
+    for f in (text_search, search_counts, highlight_parts, sentence_counts, section_openers, policy_mentions, policy_facts, metric_facts_found, alias_mentions, company_mentions, event_runs, purchase_after_signup, name_matches, quality_gate, group_overlaps, without_self, panel_verdicts, catalog_reconcile, tag_histogram, fragment_text, fragment_nodes, heading_types, grep_lines)
 }
 
 _HEAD = "trim(regexp_replace(lower(regexp_replace(coalesce(heading, ''), '\\p{Cf}', '', 'g')), '[\\t-\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+', ' ', 'g'))"
