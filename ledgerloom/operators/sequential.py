@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 OVERLAP = 0.6
 #: Word similarity above which a sentence counts as changed rather than new.
 CHANGED = 0.5
+PLAIN_QUOTES = str.maketrans("‘’“”", "''\"\"")
 
 
 def match_groups(old: list[dict], new: list[dict]) -> list[tuple[dict | None, dict | None]]:
@@ -75,7 +76,7 @@ def pack_intervals(found: list[tuple[int, int, float, str]]) -> list[tuple[int,
 def word_diff(old: str, new: str) -> list[tuple[str, str]]:
     """Words as same, del or ins along a longest common subsequence; a tie deletes before it inserts."""
     a, b = old.split(), new.split()
-    key = lambda w: w.lower().strip(".,;:!?\"'()")
+    key = lambda w: w.lower().translate(PLAIN_QUOTES)
     x, y = [key(w) for w in a], [key(w) for w in b]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):

@@ -105,23 +105,31 @@ def sentence_matches(spark: SparkSession, folder: str) -> DataFrame:
     return keyed.groupBy("company_id", "section_type").agg(F.sum(F.least("o", "n")).alias("unchanged"), F.sum(F.greatest(F.col("n") - F.col("o"), F.lit(0))).alias("fresh"), F.sum(F.greatest(F.col("o") - F.col("n"), F.lit(0))).alias("gone"))
 
 
-def sentence_diff(spark: SparkSession, folder: str) -> DataFrame:
-    """Sentence diff of each section type: unchanged, changed, added and removed sentences."""
+def _sentence_ops(spark: SparkSession, folder: str) -> DataFrame:
+    """Each sentence of both filings' section types as ``d``, a struct of ``op, old, new``, with its ``place`` in the diff."""
     j = _sides(_texts(spark, folder), ["company_id", "section_type"])
     parts = j.select("company_id", "section_type", *[T.sentences(F.coalesce(s, F.lit(""))).alias(s) for s in ("old", "new")])
     keys = [F.transform(s, T.sentence_key) for s in ("old", "new")]
     ops = sequential.sentence_diff_udf(keys[0], F.col("old"), keys[1], F.col("new"))
-    rows = parts.select("company_id", "section_type", F.explode(ops).alias("d"))
+    return parts.select("company_id", "section_type", F.posexplode(ops).alias("place", "d"))
+
+
+def sentence_diff(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentence diff of each section type: unchanged, changed, added and removed sentences."""
+    rows = _sentence_ops(spark, folder)
     return rows.groupBy("company_id", "section_type").agg(*[F.count_if(F.col("d.op") == o).alias(o) for o in ("unchanged", "changed", "added", "removed")])
 
 
 def changed_words(spark: SparkSession, folder: str) -> DataFrame:
-    """Word diff of the headings of each section type in both filings."""
+    """Word diff of each changed sentence of a section type in both filings, and of its headings joined in order of section: counts, and the pairs in order with their words."""
     s = table(spark, folder, "sections").where("heading IS NOT NULL").join(_pairs(spark, folder), "filing_id")
-    first = s.groupBy("company_id", "section_type", "side").agg(F.min_by("heading", "id").alias("v"))
-    j = _sides(first, ["company_id", "section_type"]).where("old IS NOT NULL AND new IS NOT NULL")
-    ops = sequential.word_diff_udf("old", "new")
-    return j.select("company_id", "section_type", F.explode(ops).alias("o")).groupBy("company_id", "section_type").agg(*[F.count_if(F.col("o.op") == k).alias(f"words_{k}") for k in ("same", "ins", "del")])
+    lists = s.groupBy("company_id", "section_type", "side").agg(F.array_sort(F.collect_list(F.struct("id", "heading"))).alias("x"))
+    heads = _sides(lists.select("company_id", "section_type", "side", F.array_join("x.heading", "\n").alias("v")), ["company_id", "section_type"]).where("old IS NOT NULL AND new IS NOT NULL")
+    texts = _sentence_ops(spark, folder).where("d.op = 'changed'").select("company_id", "section_type", F.lit("text").alias("part"), "place", "d.old", "d.new")
+    pairs = texts.unionByName(heads.select("company_id", "section_type", F.lit("heading").alias("part"), F.lit(0).alias("place"), "old", "new"))
+    rows = pairs.withColumn("words", sequential.word_diff_udf("old", "new"))
+    n = lambda k: F.sum(F.size(F.filter("words", lambda w: w["op"] == k))).alias(f"words_{k}")
+    return rows.groupBy("company_id", "section_type", "part").agg(*[n(k) for k in ("same", "ins", "del")], F.array_sort(F.collect_list(F.struct("place", "old", "new", "words"))).alias("pairs"))
 
 
 def group_matches(spark: SparkSession, folder: str) -> DataFrame:
