@@ -193,8 +193,8 @@ def link(spellings: DataFrame, group: list[str], name: str, contradicts, weak, p
 
     ``spellings`` is distinct by group and name with ``stem``, ``tokens`` and the parts that
     ``contradicts(x, y, slips)`` compares. ``weak(x)`` tells a spelling that leaves open who is meant, such as initials only: if such a one fits
-    two spellings that contradict each other it is linked to neither. Two spellings linked to a third are
-    linked unless they contradict each other.
+    two spellings that contradict each other it is linked to neither, but to other weak ones it stays linked. Two
+    spellings linked to a third are linked unless they contradict each other.
     """
     parts = persist(weigh(persist(spellings), group, name))  # both are read several times
     side = lambda end: parts.select(*group, F.col(name).alias(f"name_{end}"), F.struct(*[c for c in parts.columns if c not in (*group, name)]).alias(end))
@@ -214,15 +214,20 @@ def link(spellings: DataFrame, group: list[str], name: str, contradicts, weak, p
     full = ends.where("NOT weak_y").select(*group, "x", "weak_x", F.col("y").alias("name_a"))
     meet = full.join(full.drop("weak_x").withColumnRenamed("name_a", "name_b"), [*group, "x"]).where("name_a < name_b")
     known = checked(meet.select(*group, "name_a", "name_b").distinct(), 2).select(*group, "name_a", "name_b")
-    open_ = meet.where("weak_x").join(known, [*group, "name_a", "name_b"], "left_anti").select(*group, "x").distinct()
-    kept = direct
-    for end in ("name_a", "name_b"):
-        kept = kept.join(open_.withColumnRenamed("x", end), [*group, end], "left_anti")
-    kept = persist(kept.select(*group, "name_a", "name_b"))
+    open_ = persist(meet.where("weak_x").join(known, [*group, "name_a", "name_b"], "left_anti").select(*group, "x").distinct())
+
+    def settled(pairs: DataFrame) -> DataFrame:
+        """``pairs`` without those of an open spelling and one that is not weak."""
+        for end in ("a", "b"):
+            pairs = pairs.join(open_.withColumnRenamed("x", f"name_{end}").withColumn(f"open_{end}", F.lit(True)), [*group, f"name_{end}"], "left")
+        barred = (F.col("open_a") & ~F.col("weak_b")) | (F.col("open_b") & ~F.col("weak_a"))
+        return pairs.where(~F.coalesce(barred, F.lit(False))).select(*group, "name_a", "name_b")
+
+    kept = persist(settled(direct))
     ends = kept.select(*group, F.col("name_a").alias("x"), F.col("name_b").alias("y")).unionByName(kept.select(*group, F.col("name_b").alias("x"), F.col("name_a").alias("y")))
     second = ends.select(*group, "x", F.col("y").alias("name_a")).join(ends.select(*group, "x", F.col("y").alias("name_b")), [*group, "x"]).where("name_a < name_b")
     second = second.select(*group, "name_a", "name_b").distinct().join(kept, [*group, "name_a", "name_b"], "left_anti")
-    return kept.unionByName(checked(second, 2).select(*group, "name_a", "name_b"))
+    return kept.unionByName(settled(checked(second, 2).withColumns({f"weak_{end}": weak(F.col(end)) for end in ("a", "b")})))
 
 
 def person_contradicts(a: Column, b: Column, slips: int) -> Column:
