@@ -10,6 +10,9 @@ from ledgerloom.operators.skew import salted_lookup
 from ledgerloom.session import cut
 from ledgerloom.sources.tables import latest_load, table
 
+#: Members of one class of copies that meet its other members in one task.
+MEMBERS_A_TASK = 2_000
+
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """The ticker that each unresolved member means, or the empty string."""
@@ -60,19 +63,21 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of sections that share three fifths of their three-word sequences, copies included."""
     members, pairs = _section_copies(spark, folder)
     # one join for both kinds: a class meets itself and the classes it is similar to
-    classes = members.select("id").distinct()
-    links = pairs.unionByName(classes.select(F.col("id").alias("a"), F.col("id").alias("b")))
-    end = lambda e: members.select(F.col("id").alias(e), F.col("key").alias(f"key_{e}"))
-    both = links.join(end("a"), "a").join(end("b"), "b")
+    sizes = members.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_A_TASK).cast("int").alias("salts"))
+    links = pairs.unionByName(sizes.select(F.col("id").alias("a"), F.col("id").alias("b"))).join(sizes.withColumnRenamed("id", "b"), "b")
+    left = salted_lookup(members.select(F.col("id").alias("a"), F.col("key").alias("key_a")), links, ["a"])
+    # both ends of a large class are dealt out: the left one by salt, the right one stands under every salt
+    left = left.withColumn("salt", F.pmod(F.xxhash64("key_a"), "salts").cast("int")).drop("salts")
+    right = salted_lookup(members, sizes, ["id"]).select(F.col("id").alias("b"), F.col("key").alias("key_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     keep = (F.col("a") < F.col("b")) | (F.col("key_a") < F.col("key_b"))
-    return both.where(keep).select(F.least("key_a", "key_b").alias("section_id_a"), F.greatest("key_a", "key_b").alias("section_id_b"))
+    return left.join(right, ["b", "salt"]).where(keep).select(F.least("key_a", "key_b").alias("section_id_a"), F.greatest("key_a", "key_b").alias("section_id_b"))
 
 
 def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
     """One row per section with words enough: its class of equal sets and the number of similar classes."""
     members, pairs = _section_copies(spark, folder)
     links = pairs.select("a").unionAll(pairs.select("b")).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("links"))
-    return members.join(links, "id", "left").select(F.col("key").alias("section_id"), F.col("id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return salted_lookup(members, links, ["id"], "left").select(F.col("key").alias("section_id"), F.col("id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
