@@ -5,15 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+#: A key is hot if it has more than this share of all rows, so there are at most 1 / SHARE hot keys ...
+SHARE = 0.001
+#: ... and more rows than one task does easily.
+LEAST = 20_000
 
 
-def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join ``big`` to ``small``, of which each key has few rows, with every key spread over ``salts`` tasks.
+def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, _salts``: the keys that hold a large share of the rows, and over how many tasks to deal the rows of each.
 
-    The rows of a key in ``big`` are dealt out by a hash of the whole row, and ``small`` is repeated per salt.
-    Identical rows of ``big`` share a salt. ``how`` is inner, left, left_semi or left_anti.
+    At most 1 / ``SHARE`` rows, whatever the size of ``df``; a null key is never hot. ``_salts`` grows with the key's count.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int")
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("_salt", salt).join(repeated, [*keys, "_salt"], how).drop("_salt")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    every = df.agg(F.greatest(F.lit(LEAST), F.count(F.lit(1)) * SHARE).alias("_most"))
+    return counts.join(F.broadcast(every)).where("_n > _most").select(*keys, F.ceil(F.col("_n") / F.col("_most")).cast("int").alias("_salts"))
+
+
+def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join ``big`` to ``small``, of which each key has few rows, with every hot key of ``big`` dealt out over many tasks.
+
+    The rows of a hot key in ``big`` are dealt out by a hash of the whole row, and its rows in ``small`` are repeated per
+    salt; other keys are joined as they are. Identical rows of ``big`` share a salt. ``big`` is read twice, so it should be a
+    stored table or a plain scan. ``how`` is inner, left, left_semi or left_anti.
+    """
+    hot = F.broadcast(hot_keys(big.select(*keys), keys))  # at most 1 / SHARE rows
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in big.columns])
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = big.join(hot, keys, "left").withColumn("_salt", F.pmod(row, salts).cast("int")).drop("_salts")
+    repeated = small.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
