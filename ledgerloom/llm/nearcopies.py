@@ -41,7 +41,9 @@ BAND = 2
 HOT, SAMPLED = 20_000, 64
 #: Most signatures that are spread; the others are only slower.
 SPREAD = 10_000
-WORDS64 = 8
+#: Parity bits of a set, in longs.
+LONGS = 16
+NAMES = [f"w{i}" for i in range(LONGS)]
 #: Tokens and characters that are worked on at once.
 TOKENS_AT_ONCE, CHARACTERS_AT_ONCE = 1 << 19, 1 << 21
 _MIX, _MIX2, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
@@ -97,11 +99,11 @@ def shingles(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bitmaps(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Parities of the tokens of each set that fall on each of 512 bits; two sets differ in at least as many tokens as bits."""
-    bits = 64 * WORDS64
-    at = np.repeat(np.arange(len(lengths)), lengths) * bits + (_mix(tokens) >> np.uint64(64 - 9)).astype(np.int64)
+    """Parities of the tokens of each set that fall on each bit; two sets differ in at least as many tokens as bits."""
+    bits = 64 * LONGS
+    at = np.repeat(np.arange(len(lengths)), lengths) * bits + (_mix(tokens) >> np.uint64(54)).astype(np.int64) % bits
     odd = (np.bincount(at, minlength=len(lengths) * bits) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64).reshape(len(lengths), WORDS64)
+    return np.packbits(odd).view(np.int64).reshape(len(lengths), LONGS)
 
 
 def _counter(tokens: np.ndarray, counters: int) -> np.ndarray:
@@ -306,7 +308,7 @@ def _hot(sets: DataFrame, scheme) -> tuple[np.ndarray, np.ndarray]:
 def similar_sets(sets: DataFrame, at_least: tuple[int, int] = (4, 5)) -> DataFrame:
     """``a, b, common, n_a, n_b`` of distinct sets ``a < b`` whose Jaccard similarity is ``at_least`` num/den.
 
-    ``sets(id long, tokens array<long>, w0..w7 long)`` holds distinct tokens and their parity bits, no set twice and none
+    ``sets(id long, tokens array<long>, w0.. long)`` holds distinct tokens and their parity bits, no set twice and none
     empty, as a stored table. Pairs that share a signature pass a bound on their parity bits; what is left is verified exactly.
     """
     spark, (num, den) = sets.sparkSession, at_least
@@ -332,13 +334,11 @@ def similar_sets(sets: DataFrame, at_least: tuple[int, int] = (4, 5)) -> DataFra
     both = postings.alias("a").join(postings.alias("b"), (F.col("a.sig") == F.col("b.sig")) & fits)
     # dealt out by the first set, so that neither dropping repeats nor the first look-up moves the pairs again
     met = both.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).repartition("a").dropDuplicates(["a", "b"])
-    names = [f"w{i}" for i in range(WORDS64)]
-    bits = lambda e: sets.select(F.col("id").alias(e), F.size("tokens").alias(f"n_{e}"), *[F.col(w).alias(f"{w}_{e}") for w in names])
-    mapped = met.join(bits("a"), "a").join(bits("b"), "b")
-    differing = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in names), F.lit(0))
+    bits = lambda e: sets.select(F.col("id").alias(e), F.size("tokens").alias(f"n_{e}"), *[F.col(w).alias(f"{w}_{e}") for w in NAMES])
+    differing = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in NAMES), F.lit(0))
     # similarity s needs |a ^ b| <= (1 - s) / (1 + s) * (|a| + |b|)
     close = differing * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)
-    pairs = mapped.where(close).select("a", "b")
+    pairs = met.join(bits("a"), "a").join(bits("b"), "b").where(close).select("a", "b")
     side = lambda e: sets.select(F.col("id").alias(e), F.col("tokens").alias(f"t{e}"))
     checked = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("common"), F.size("ta").alias("n_a"), F.size("tb").alias("n_b"))
     good = checked.where(F.col("common") * den >= (F.col("n_a") + F.col("n_b") - F.col("common")) * num)
@@ -348,11 +348,10 @@ def similar_sets(sets: DataFrame, at_least: tuple[int, int] = (4, 5)) -> DataFra
 
 
 def distinct_sets(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """``key, n, h1, h2, tokens, w0..w7``: each text's set with two hashes and its parity bits; texts of too few words are left out.
+    """``key, n, h1, h2, tokens, w0..``: each text's set with two hashes and its parity bits; texts of too few words are left out.
 
     In Arrow batches: as array functions of Spark are not compiled, they take five times as long for the same hashes.
     """
-    names = [f"w{i}" for i in range(WORDS64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -367,10 +366,10 @@ def distinct_sets(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 sums = [np.add.reduceat(_mix(tokens + c), ends[:-1]).view(np.int64) for c in (1, 2)]
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens))
                 bits = _bitmaps(tokens, n)
-                arrays = [pa.array(keys[start:stop][some]), pa.array(n.astype(np.int32)), *map(pa.array, sums), lists, *(pa.array(np.ascontiguousarray(bits[:, j])) for j in range(WORDS64))]
-                yield pa.RecordBatch.from_arrays(arrays, ["key", "n", "h1", "h2", "tokens", *names])
+                arrays = [pa.array(keys[start:stop][some]), pa.array(n.astype(np.int32)), *map(pa.array, sums), lists, *(pa.array(np.ascontiguousarray(bits[:, j])) for j in range(LONGS))]
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "n", "h1", "h2", "tokens", *NAMES])
 
-    schema = "key long, n int, h1 long, h2 long, tokens array<long>, " + ", ".join(f"{w} long" for w in names)
+    schema = "key long, n int, h1 long, h2 long, tokens array<long>, " + ", ".join(f"{w} long" for w in NAMES)
     return df.select(F.col(key).cast("long").alias("key"), text).where(F.col("key").isNotNull()).mapInArrow(run, schema)
 
 
@@ -378,13 +377,14 @@ def near_copies(df: DataFrame, key: str, text: str, *, words: int = 5, at_least:
     """Membership ``key, id`` and pairs ``a, b`` of different sets with similarity ``at_least``.
 
     Texts with equal sets form one class, named by its smallest key; only classes are compared. Null and
-    empty texts, texts of fewer than ``words`` words, and rows without key belong to no class.
+    empty texts, texts of fewer than ``words`` words, and rows without key belong to no class. Repeated rows count once;
+    ``key`` should not stand for several texts, as of two classes that it would name one is compared.
     """
     prints = persist(distinct_sets(df, key, text, words))
     same = ["n", "h1", "h2"]
     heads = prints.groupBy(*same).agg(F.min("key").alias("id"))
     # a text that a third of all rows repeat is one class: its rows are dealt out over many tasks
-    members = salted_lookup(prints.select("key", *same), heads, same).select("key", "id")
+    members = salted_lookup(prints.select("key", *same).distinct(), heads, same).select("key", "id")
     once = prints.join(heads.select(F.col("id").alias("key")), "key", "left_semi").withColumnRenamed("key", "id").drop(*same)
     sets = persist(once.dropDuplicates(["id"]))
     pairs = similar_sets(sets, at_least).select("a", "b")

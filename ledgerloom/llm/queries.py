@@ -54,7 +54,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _section_copies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    sections = table(spark, folder, "sections").select("id", "text").dropDuplicates(["id"])
+    sections = table(spark, folder, "sections").select("id", "text")
     members, pairs = nearcopies.near_copies(sections, "id", "text", words=3, at_least=(3, 5), persist=cut)
     return cut(members), cut(pairs)
 
