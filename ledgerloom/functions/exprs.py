@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 # White space that the text functions treat as one kind, and letters that make a word.
 SPACE = "[\\t-\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
 WORD_END = "(?![A-Za-z0-9_])"
-# Trailing legal forms that names are compared without, in the order in which they are dropped.
-NAME_SUFFIXES = ["inc", "incorporated", "corp", "corporation", "company", "co", "ltd", "limited", "llc", "plc", "lp", "nv", "sa", "ag", "holdings", "holding", "group", "trust", "the", "com"]
+# Trailing legal forms that names are compared without.
+NAME_SUFFIXES = ["incorporated", "corporation", "limited", "holdings", "holding", "company", "companies", "international", "group", "and co", "plc", "llc", "ltd", "inc", "corp", "co", "sa", "nv", "ag"]
+# Exchanges whose symbol may follow a name in brackets.
+EXCHANGES = ["NYSE", "NASDAQ", "NSE", "AMEX", "OTC", "TSX", "LSE", "TSE", "OTCBB", "OTCQB", "OTCQX"]
 # Titles that may trail a name.
 TITLES = ["co-", "Chief", "President", "Senior Vice President", "SVP", "EVP", "Chairman", "Chair", "Officer"]
 
@@ -62,11 +64,10 @@ def display_name(c: Column) -> Column:
 
 
 def company_key(c: Column) -> Column:
-    """A company name for comparison: no exchange symbol, punctuation or trailing legal forms; a bare form gives the empty string."""
-    x = F.lower(F.regexp_replace(c, r"(?i)\s*\((?:nyse|nasdaq|amex)[^)]*\)", ""))
-    x = F.trim(F.regexp_replace(F.regexp_replace(x, r"[^a-z0-9 ]", " "), " +", " "))
-    x = F.regexp_replace(x, f"( (?:{'|'.join(NAME_SUFFIXES)}))+$", "")
-    return F.when(x.isin(*NAME_SUFFIXES), "").otherwise(x)
+    """A company name for comparison: no exchange symbol in brackets, punctuation or trailing legal forms; a bare form gives the empty string."""
+    x = F.lower(F.regexp_replace(c, rf"(?i)\((?:{'|'.join(EXCHANGES)})\s*[:.-]?\s*[A-Z0-9.-]{{1,8}}\)", " "))
+    x = F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(x, f"(?:(?:^| )(?:{'|'.join(NAME_SUFFIXES)}))+$", ""))
 
 
 def ticker_shape(c: Column) -> Column:
@@ -74,16 +75,12 @@ def ticker_shape(c: Column) -> Column:
 
 
 def pay_ratio(c: Column) -> Column:
-    """A ratio in the form "N to 1"."""
-    times = F.regexp_extract(c, r"(?i)^\s*([\d,.]+)\s*times", 1)
-    rule = r"(?i)([\d,.]+)\s*(?::|-?to-?|\s)\s*([\d,.]+)"
-    a, b = F.regexp_extract(c, rule, 1), F.regexp_extract(c, rule, 2)
-    return (
-        F.when(times != "", F.concat(times, F.lit(" to 1")))
-        .when(b == "1", F.concat(a, F.lit(" to 1")))
-        .when(a == "1", F.concat(b, F.lit(" to 1")))
-        .otherwise(F.regexp_replace(c, "[:-]", " to "))
-    )
+    """A ratio in the form "N to 1", whichever side has the 1; "N times" is a ratio too, anything else stays."""
+    sides = F.regexp_extract_all(c, F.lit(r"\d[\d,]*(?:\.\d+)?"), F.lit(0))
+    other = F.when(F.element_at(sides, -1) == "1", F.get(sides, 0)).when(F.get(sides, 0) == "1", F.element_at(sides, -1))
+    times = F.when((F.size(sides) == 1) & c.rlike(r"(?i)^\s*[\d,.]+\s*times"), F.get(sides, 0))
+    two = F.when(F.size(sides) == 2, F.coalesce(F.concat(other, F.lit(" to 1")), F.array_join(sides, " to ")))
+    return F.coalesce(F.concat(times, F.lit(" to 1")), two, c)
 
 
 def csv_cell(c: Column) -> Column:
@@ -105,16 +102,23 @@ def role_rank(c: Column) -> Column:
     return F.when(is_ceo(c), 0).when(c.rlike(r"(?i)chief\s+financial\s+officer|(?<![A-Z])CFO(?![A-Z])"), 1).otherwise(2)
 
 
+# Words before a number that hedge it, and values that go by another name.
+HEDGES = ["over", "approximately", "about", "around", "nearly", "more than", "less than", "under"]
+VALUE_NAMES = {"maximum number": "maximum vesting", "maximum payout opportunity": "maximum payout"}
+
+
 def clean_value(c: Column) -> Column:
-    """An extracted value without hedges and inner spaces."""
+    """An extracted value read as hedge, sign, number, unit and rest, and put together without the hedge and inner spaces."""
     x = collapse(c)
-    x = F.regexp_replace(x, r"(?i)^(?:over|approximately|about|around|nearly|more than|less than|under)\s+", "")
-    x = F.regexp_replace(F.regexp_replace(x, r"\$\s+(\d)", "\\$$1"), r"(\d)\s+%", "$1%")
-    return F.regexp_replace(x, r"(\d)\s+(st|nd|rd|th)\b", "$1$2")
+    rule = rf"(?i)^(?:(?:{'|'.join(HEDGES)}) )?(\$?) ?(\d[\d,]*(?:\.\d+)?)(?: ?(%|(?:st|nd|rd|th)\b))?(.*)$"
+    read = F.concat(*[F.regexp_extract(x, rule, i) for i in (1, 2, 3, 4)])
+    names = F.create_map(*[F.lit(v) for kv in VALUE_NAMES.items() for v in kv])
+    return F.when(read != "", read).otherwise(F.coalesce(F.try_element_at(names, F.lower(x)), x))
 
 
 def value_kind(c: Column) -> Column:
-    return F.when(c.rlike(r"(?i)percentile"), "percentile").when(c.contains("$"), "currency").when(c.contains("%"), "percent").otherwise("other")
+    low = F.lower(c)
+    return F.when(F.contains(low, F.lit("percentile")), "percentile").when(F.startswith(c, F.lit("$")), "currency").when(F.contains(c, F.lit("%")), "percent").otherwise(F.when(c.isNotNull(), "other"))
 
 
 def hide_flagged(review: Column, verification: Column) -> Column:

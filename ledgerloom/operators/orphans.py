@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STATE = "target string, key string, refs long, first_ref timestamp, last_ref timestamp, existing long, first_seen timestamp"
-SALTS = 16
+from ledgerloom.operators.skew import salted_lookup
+
+STATE = "target string, key string, refs long, first_ref timestamp, last_ref timestamp, existing long, times map<timestamp,long>, timeless long"
 
 
 def clean_key(column: Column, *, lower: bool = False, drop: str = "") -> Column:
@@ -48,50 +49,56 @@ def existence_deltas(df: DataFrame, target: str, key: Column, at: Column, sign:
 
 
 def fold(deltas: DataFrame, state: DataFrame | None = None) -> DataFrame:
-    """Fold deltas into the state; the aggregation is partial on the map side, so a hot key costs one row per task.
+    """Fold deltas into the state; the aggregation is partial on the map side, so a hot key costs one row per task and time.
 
-    ``first_seen`` is the earliest existence of a key. After deletions it stays the earliest of the rows seen.
+    Besides the signed counts the state keeps how many rows of each time exist (``times``), so that after a deletion the
+    earliest surviving row tells since when the key exists: a key that is deleted and re-created exists since its
+    re-creation. A time whose rows are all deleted is dropped from the state. ``timeless`` counts rows without a time.
+    A deletion must carry the time of the row it deletes.
     """
-    is_ref, is_there = F.col("ref_delta") > 0, F.col("exist_delta") > 0
-    rows = deltas.select(
-        "target",
-        "key",
-        F.col("ref_delta").alias("refs"),
-        F.when(is_ref, F.col("at")).alias("first_ref"),
-        F.when(is_ref, F.col("at")).alias("last_ref"),
-        F.col("exist_delta").alias("existing"),
-        F.when(is_there, F.col("at")).alias("first_seen"),
+    is_ref = F.col("ref_delta") > 0
+    rows = deltas.groupBy("target", "key", F.when(F.col("exist_delta") != 0, F.col("at")).alias("time")).agg(
+        F.sum("ref_delta").alias("refs"),
+        F.min(F.when(is_ref, F.col("at"))).alias("first_ref"),
+        F.max(F.when(is_ref, F.col("at"))).alias("last_ref"),
+        F.sum("exist_delta").alias("n"),
     )
     if state is not None:
-        rows = rows.unionByName(state)
-    return rows.groupBy("target", "key").agg(
-        F.sum("refs").alias("refs"),
+        counts = state.select("target", "key", F.explode(F.map_entries("times")).alias("e")).select("target", "key", F.col("e.key").alias("time"), F.col("e.value").alias("n"))
+        bare = state.select("target", "key", F.lit(None).cast("timestamp").alias("time"), "refs", "first_ref", "last_ref", F.col("timeless").alias("n"))
+        rows = rows.unionByName(bare).unionByName(counts, allowMissingColumns=True)
+    per_time = rows.groupBy("target", "key", "time").agg(F.sum("refs").alias("refs"), F.min("first_ref").alias("first_ref"), F.max("last_ref").alias("last_ref"), F.sum("n").alias("n"))
+    kept = F.when(F.col("time").isNotNull() & (F.col("n") != 0), F.struct("time", "n"))
+    return per_time.groupBy("target", "key").agg(
+        F.coalesce(F.sum("refs"), F.lit(0)).alias("refs"),
         F.min("first_ref").alias("first_ref"),
         F.max("last_ref").alias("last_ref"),
-        F.sum("existing").alias("existing"),
-        F.min("first_seen").alias("first_seen"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("existing"),
+        F.map_from_entries(F.collect_list(kept)).alias("times"),
+        F.coalesce(F.sum(F.when(F.col("time").isNull(), F.col("n"))), F.lit(0)).alias("timeless"),
     )
 
 
+def first_seen() -> Column:
+    """The time of the earliest row of a key that still exists; null if none has a time."""
+    return F.array_min(F.map_keys(F.map_filter("times", lambda t, n: n > 0)))
+
+
 def orphan_keys(state: DataFrame, *, timed: tuple[str, ...] = ()) -> DataFrame:
     """Keys with positive references that do not exist, and for the targets in ``timed`` those that came late.
 
     ``since`` is the time from which the key exists: null for never. References before it are orphans.
     """
     missing = F.col("existing") <= 0
-    late = F.col("target").isin(*timed) & (F.col("first_ref") < F.col("first_seen")) if timed else F.lit(False)
-    return state.where((F.col("refs") > 0) & (missing | late)).select(
-        "target", "key", F.when(~missing, F.col("first_seen")).alias("since")
-    )
+    late = F.col("target").isin(*timed) & (F.col("first_ref") < first_seen()) if timed else F.lit(False)
+    return state.where((F.col("refs") > 0) & (missing | late)).select("target", "key", F.when(~missing, first_seen()).alias("since"))
 
 
 def orphan_rows(refs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of ``refs(target, key, at, ...)`` that refer to an orphan key at their time.
 
-    Only orphan keys enter the join, and each is spread over ``SALTS`` tasks, so that one key which
-    a third of all rows name is read by many tasks. A row without a time counts if the key never existed.
+    Only orphan keys enter the join, and the rows of a key that a large share of them name are dealt out over many tasks
+    by its count. A row without a time counts if the key never existed. ``refs`` is read twice.
     """
-    salted = keys.select("target", "key", "since", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    spread = refs.withColumn("_salt", F.pmod(F.xxhash64(*refs.columns), F.lit(SALTS)).cast("int"))
-    hit = spread.join(salted, ["target", "key", "_salt"])
-    return hit.where(F.col("since").isNull() | (F.col("at") < F.col("since"))).drop("_salt")
+    hit = salted_lookup(refs, keys.select("target", "key", "since"), ["target", "key"])
+    return hit.where(F.col("since").isNull() | (F.col("at") < F.col("since")))

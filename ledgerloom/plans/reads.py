@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import exprs as X
+from ledgerloom.operators.orphans import clean_key
 from ledgerloom.sources.tables import table
 
 # DuckDB forms of shared expressions
@@ -124,11 +125,10 @@ def lookup_cascade(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _key_sql(c: str) -> str:
-    x = f"trim(regexp_replace(regexp_replace(lower(regexp_replace({c}, '\\s*\\((?:nyse|nasdaq|amex)[^)]*\\)', '', 'gi')), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
-    names = "|".join(X.NAME_SUFFIXES)
-    y = f"regexp_replace({x}, '( (?:{names}))+$', '')"
-    quoted = ", ".join(f"'{n}'" for n in X.NAME_SUFFIXES)
-    return f"(CASE WHEN {y} IN ({quoted}) THEN '' ELSE {y} END)"
+    bare = f"regexp_replace({c}, '\\((nyse|nasdaq|nse|amex|otc|tsx|lse|tse|otcbb|otcqb|otcqx)\\s*[:.-]?\\s*[a-z0-9.-]{{1,8}}\\)', ' ', 'gi')"
+    words = f"trim(regexp_replace(lower({bare}), '[^a-z0-9]+', ' ', 'g'))"
+    forms = "incorporated|corporation|limited|holdings|holding|company|companies|international|group|and co|plc|llc|ltd|inc|corp|co|sa|nv|ag"
+    return f"trim(regexp_replace({words}, '((^| )({forms}))+$', ''))"
 
 
 def listed_filers(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,10 +146,11 @@ def absent_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def untracked_to_null(spark: SparkSession, folder: str) -> DataFrame:
-    """Members with the resolved id nulled unless it is listed; no row is lost."""
-    m = table(spark, folder, "peer_group_members").select("id", "company_id_resolved").distinct()
-    u = table(spark, folder, "ticker_universe").select(F.col("ticker_lower").alias("company_id_resolved"), F.lit(True).alias("known"))
-    return m.join(u, "company_id_resolved", "left").select("id", F.when(F.col("known"), F.col("company_id_resolved")).alias("tracked_id"))
+    """Members with the resolved id in its one form, nulled unless it is listed; no row is lost."""
+    key = clean_key(F.col("company_id_resolved"), lower=True)
+    m = table(spark, folder, "peer_group_members").select("id", "company_id_resolved").distinct().select("id", key.alias("key"))
+    u = table(spark, folder, "ticker_universe").select(F.col("ticker_lower").alias("key"), F.lit(True).alias("known"))
+    return m.join(u, "key", "left").select("id", F.when(F.col("known"), F.col("key")).alias("tracked_id"))
 
 
 def with_defaults(spark: SparkSession, folder: str) -> DataFrame:
@@ -388,7 +389,7 @@ ORACLES = {
     "lookup_cascade": f"SELECT m.id, coalesce(a.ticker_lower, b.ticker_lower, n.t) AS entry, CASE WHEN a.ticker_lower IS NOT NULL THEN 'id' WHEN b.ticker_lower IS NOT NULL THEN 'symbol' WHEN n.t IS NOT NULL THEN 'name' ELSE 'none' END AS found_by FROM (SELECT DISTINCT id, company_name_raw, company_id_resolved, ticker_resolved FROM peer_group_members) m LEFT JOIN ticker_universe a ON a.ticker_lower = lower(trim(m.company_id_resolved)) LEFT JOIN ticker_universe b ON b.ticker_lower = lower(m.ticker_resolved) LEFT JOIN (SELECT {_key_sql('name')} AS k, min(ticker_lower) AS t FROM ticker_universe GROUP BY 1) n ON n.k = {_key_sql('m.company_name_raw')} AND n.k <> ''",
     "listed_filers": "SELECT id, coalesce(lower(ticker) IN (SELECT ticker_lower FROM ticker_universe), false) AS listed FROM companies",
     "absent_facts": "SELECT DISTINCT filing_id, metric_name_normalized FROM metric_facts_oracle WHERE metric_name_normalized IS NOT NULL EXCEPT SELECT filing_id, metric_name_normalized FROM metric_facts",
-    "untracked_to_null": "SELECT id, CASE WHEN company_id_resolved IN (SELECT ticker_lower FROM ticker_universe) THEN company_id_resolved END AS tracked_id FROM (SELECT DISTINCT id, company_id_resolved FROM peer_group_members)",
+    "untracked_to_null": "SELECT m.id, u.ticker_lower AS tracked_id FROM (SELECT DISTINCT id, company_id_resolved FROM peer_group_members) m LEFT JOIN ticker_universe u ON u.ticker_lower = lower(trim(m.company_id_resolved))",
     "with_defaults": f"WITH a AS (SELECT ticker_lower AS id, name FROM ticker_universe UNION ALL SELECT lower(ticker), NULL FROM companies WHERE ticker IS NOT NULL AND lower(ticker) NOT IN (SELECT ticker_lower FROM ticker_universe)) SELECT a.id, coalesce(a.name, 'Not listed') AS name, coalesce(CAST(y.year AS VARCHAR), 'Not ingested') AS year, c.id IS NULL AS absent FROM a LEFT JOIN companies c ON lower(c.ticker) = a.id LEFT JOIN (SELECT company_id, max(filing_year) AS year FROM filings GROUP BY 1) y ON y.company_id = c.id",
     "pay_mix": f"WITH e AS (SELECT id, coalesce(salary, 0) AS a, coalesce(bonus, 0) + coalesce(non_equity_incentive_plan_compensation, 0) AS b, coalesce(stock_awards, 0) + coalesce(option_awards, 0) AS c, coalesce(all_other_compensation, 0) AS d FROM {_EXECS}) SELECT id, "
     + ", ".join(f"CAST(CASE WHEN a + b + c + d > 0 THEN floor({x} / (a + b + c + d) * 100 + 0.5) END AS BIGINT) AS {n}" for x, n in zip("abcd", ("base", "bonus", "equity", "other")))
@@ -408,7 +409,7 @@ ORACLES = {
     "ticker_search": "WITH u AS (SELECT *, replace(ticker_lower, '.', '-') AS t, name_lower AS n FROM ticker_universe), w AS (SELECT *, CASE WHEN starts_with(n, 'bel') THEN 0 ELSE nullif(list_min(list_filter([instr(n, ' bel'), instr(n, '&bel'), instr(n, '/bel'), instr(n, '-bel')], lambda x: x > 0)), 0) - 1 END AS pos FROM u), s AS (SELECT ticker, name, CASE WHEN t = 'bel' THEN 1000 WHEN starts_with(t, 'bel') THEN 900 - (length(t) - 3) WHEN pos IS NOT NULL THEN 700 - least(pos, 200) WHEN instr(n, 'bel') > 0 THEN 500 - least(instr(n, 'bel') - 1, 200) WHEN contains(t, 'bel') THEN 400 END AS score, CASE WHEN ticker_lower IN (SELECT lower(ticker) FROM companies WHERE ticker IS NOT NULL) THEN 1 ELSE 0 END AS in_db FROM w) SELECT ticker, name, CAST(score AS BIGINT) AS score, CAST(in_db AS BIGINT) AS in_db FROM s WHERE score IS NOT NULL ORDER BY score DESC, in_db DESC, name, ticker LIMIT 10",
     "compare_matrix": f"WITH r AS (SELECT c.id AS company_id, c.name, c.ticker, c.sector, CAST(f.filing_year AS VARCHAR) AS year, f.form_type FROM companies c LEFT JOIN {_RANKED} f ON f.company_id = c.id AND f.rank = 1) " + " UNION ALL ".join(f"SELECT company_id, CAST({i} AS BIGINT) AS axis_no, '{a}' AS axis, {_cell_sql(f'coalesce({a}, chr(8212))')} AS cell FROM r" for i, a in enumerate(("name", "ticker", "sector", "year", "form_type"))),
     "exec_csv": "SELECT DISTINCT id, " + " || ',' || ".join(_cell_sql(c) for c in ("executive_name", "principal_position", "salary", "total")) + " AS line FROM exec_comp_rows",
-    "scaled_values": f"WITH v AS (SELECT DISTINCT observed_value FROM metric_facts WHERE observed_value IS NOT NULL), x AS (SELECT observed_value, {_SCALED} AS m, {num_sql('observed_value')} AS p FROM v) SELECT observed_value, TRY_CAST(nullif(m.d, '') AS DOUBLE) * CASE lower(m.s) WHEN 'billion' THEN 1e9::DOUBLE WHEN 'million' THEN 1e6::DOUBLE WHEN 'trillion' THEN 1e12::DOUBLE ELSE 1.0::DOUBLE END AS scaled, p AS plain, CASE WHEN regexp_matches(observed_value, 'percentile', 'i') THEN 'percentile' WHEN contains(observed_value, '$') THEN 'currency' WHEN contains(observed_value, '%') THEN 'percent' ELSE 'other' END AS kind FROM x",
+    "scaled_values": f"WITH v AS (SELECT DISTINCT observed_value FROM metric_facts WHERE observed_value IS NOT NULL), x AS (SELECT observed_value, {_SCALED} AS m, {num_sql('observed_value')} AS p FROM v) SELECT observed_value, TRY_CAST(nullif(m.d, '') AS DOUBLE) * CASE lower(m.s) WHEN 'billion' THEN 1e9::DOUBLE WHEN 'million' THEN 1e6::DOUBLE WHEN 'trillion' THEN 1e12::DOUBLE ELSE 1.0::DOUBLE END AS scaled, p AS plain, CASE WHEN regexp_matches(observed_value, 'percentile', 'i') THEN 'percentile' WHEN starts_with(observed_value, '$') THEN 'currency' WHEN contains(observed_value, '%') THEN 'percent' ELSE 'other' END AS kind FROM x",
     "canonical_digest": f"SELECT doc_id, sha256(trim(regexp_replace(text, '{_WS}', ' ', 'g'))) AS digest, length(trim(regexp_replace(text, '{_WS}', ' ', 'g'))) AS chars FROM documents WHERE text IS NOT NULL",
     "client_hashes": "SELECT CASE WHEN user_id IS NULL THEN 'anon' ELSE substr(sha256('salt|' || CAST(user_id AS VARCHAR)), 1, 24) END AS client, count(*) AS events FROM events GROUP BY 1",
     "submissions_to_rows": f"SELECT company_id, id AS accession, form_type AS form, row_number() OVER (PARTITION BY company_id ORDER BY filing_date DESC, id DESC) AS place FROM {_FILINGS} WHERE form_type IN ('DEF 14A', 'DEF 14C')",

@@ -57,19 +57,29 @@ def policy_mentions(spark: SparkSession, folder: str) -> DataFrame:
     return s.agg(*tests)
 
 
+def policies_of(sections: DataFrame) -> DataFrame:
+    """Policies found in section texts, the main section first: one row per filing and policy."""
+    found = rules.candidates(sections, rules.POLICIES).withColumn("value", rules.policy_value(F.col("rule"), F.col("excerpt")))
+    scored = found.withColumn("score", rules.score(rules.POLICIES, F.col("rule"), F.col("excerpt"), F.col("value")))
+    return rules.cascade(rules.best(scored, ("filing_id", "section_id")), sections)
+
+
+def metrics_of(sections: DataFrame) -> DataFrame:
+    """Metrics found in section texts, the main section first: one row per filing and metric."""
+    found = rules.candidates(sections, rules.METRICS).withColumn("value", rules.metric_value(F.col("rule"), F.col("value")))
+    scored = found.withColumn("score", rules.metric_score(F.col("rule"), F.col("excerpt"), F.col("value"), F.col("points")))
+    best = rules.best(scored, ("filing_id", "section_id"))
+    return rules.cascade(best.where(rules.kept(rules.METRICS, F.col("rule"), F.col("excerpt"), F.col("value"))), sections)
+
+
 def policy_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """Policies found in section texts, one row per filing and policy: the best candidate."""
-    found = rules.candidates(table(spark, folder, "sections"), rules.POLICIES)
-    found = found.withColumn("value", rules.policy_value(F.col("rule"), F.col("excerpt")))
-    return rules.best(found.withColumn("score", rules.score(rules.POLICIES, F.col("rule"), F.col("excerpt"), F.col("value"))))
+    """Policies of each filing."""
+    return policies_of(table(spark, folder, "sections"))
 
 
 def metric_facts_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Metrics found in section texts, the main section first."""
-    sections = table(spark, folder, "sections")
-    found = rules.candidates(sections, rules.METRICS).withColumn("value", X.clean_value(F.col("value")))
-    found = found.withColumn("score", rules.score(rules.METRICS, F.col("rule"), F.col("excerpt"), F.col("value")))
-    return rules.cascade(found, sections)
+    """Metrics of each filing."""
+    return metrics_of(table(spark, folder, "sections"))
 
 
 def alias_mentions(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,7 +138,7 @@ def quality_gate(spark: SparkSession, folder: str) -> DataFrame:
 
 def group_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of one filing compared in pairs: overlap, superset and similarity of their resolved members."""
-    g = table(spark, folder, "peer_groups").select("id", "filing_id", F.array_distinct(F.filter(F.col("members.company_id_resolved"), lambda m: m.isNotNull())).alias("ids"))
+    g = table(spark, folder, "peer_groups").select("id", "filing_id", F.array_distinct(F.filter(F.transform("members.company_id_resolved", lambda m: F.lower(F.trim(m))), lambda m: m != "")).alias("ids"))
     a, b = g.select("filing_id", F.col("id").alias("a"), F.col("ids").alias("x")), g.select("filing_id", F.col("id").alias("b"), F.col("ids").alias("y"))
     p = a.join(b, "filing_id").where("a < b AND size(x) > 0 AND size(y) > 0")
     common, every = F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))
@@ -228,7 +238,7 @@ SELECT g.id AS section_id, a.ticker, min(g.i) AS place, max(a.confidence) AS con
     "purchase_after_signup": "SELECT p.event_id, max(epoch_us(s.ts)) AS signup_at FROM events p LEFT JOIN events s ON s.user_id = p.user_id AND s.event_type = 'signup' AND s.ts <= p.ts AND epoch_us(p.ts) - epoch_us(s.ts) < 86400000000 WHERE p.event_type = 'purchase' GROUP BY p.event_id",
     "name_matches": f"SELECT m.company_name_raw, m.key, u.ticker FROM (SELECT DISTINCT company_name_raw, {_key_sql('company_name_raw')} AS key FROM peer_group_members) m LEFT JOIN (SELECT {_key_sql('name')} AS key, min(ticker) AS ticker FROM ticker_universe GROUP BY 1) u ON u.key = m.key AND u.key <> ''",
     "quality_gate": "WITH o AS (SELECT peer_group_id, array_to_string(list_sort(list(DISTINCT ticker_resolved)), ',') AS s FROM peer_group_members WHERE ticker_resolved IS NOT NULL AND ticker_resolved NOT IN (SELECT ticker FROM ticker_universe) GROUP BY 1) SELECT g.id AS peer_group_id, coalesce(o.s, '') AS suspects, CASE WHEN o.s IS NOT NULL THEN 'flagged' ELSE g.review_status END AS review_status, CASE WHEN o.s IS NOT NULL THEN 'rejected' ELSE g.verification_status END AS verification_status FROM peer_groups g LEFT JOIN o ON o.peer_group_id = g.id",
-    "group_overlaps": "WITH g AS (SELECT id, filing_id, list_distinct(list_filter(list_transform(members, lambda m: m.company_id_resolved), lambda x: x IS NOT NULL)) AS ids FROM peer_groups), p AS (SELECT a.id AS a, b.id AS b, a.ids AS x, b.ids AS y, len(list_intersect(a.ids, b.ids)) AS c FROM g a JOIN g b ON a.filing_id = b.filing_id AND a.id < b.id WHERE len(a.ids) > 0 AND len(b.ids) > 0) SELECT a, b, CAST(floor(c / greatest(len(x), len(y)) * 1000 + 0.5) AS BIGINT) AS overlap, CAST(floor(c / (len(x) + len(y) - c) * 1000 + 0.5) AS BIGINT) AS jaccard, c = len(y) AS contains_b FROM p",
+    "group_overlaps": "WITH g AS (SELECT id, filing_id, list_distinct(list_filter(list_transform(members, lambda m: lower(trim(m.company_id_resolved))), lambda x: x <> '')) AS ids FROM peer_groups), p AS (SELECT a.id AS a, b.id AS b, a.ids AS x, b.ids AS y, len(list_intersect(a.ids, b.ids)) AS c FROM g a JOIN g b ON a.filing_id = b.filing_id AND a.id < b.id WHERE len(a.ids) > 0 AND len(b.ids) > 0) SELECT a, b, CAST(floor(c / greatest(len(x), len(y)) * 1000 + 0.5) AS BIGINT) AS overlap, CAST(floor(c / (len(x) + len(y) - c) * 1000 + 0.5) AS BIGINT) AS jaccard, c = len(y) AS contains_b FROM p",
     "without_self": f"WITH g AS (SELECT g.id, len(list_filter(g.members, lambda m: m.company_id_resolved IS NULL OR m.company_id_resolved <> f.company_id)) AS members FROM peer_groups g JOIN {_FILINGS} f ON f.id = g.filing_id) SELECT id, members FROM g WHERE members > 0",
     "panel_verdicts": f"WITH r AS (SELECT filing_id, unnest(CASE WHEN len(members) = 0 THEN [NULL] ELSE list_transform(members, lambda m: m.ticker_resolved) END) AS t FROM peer_groups WHERE {_SHOWN}), c AS (SELECT filing_id, count(t) AS n, count(*) FILTER (t IS NOT NULL AND t NOT IN (SELECT ticker FROM ticker_universe)) AS odd FROM r GROUP BY 1) SELECT f.id AS filing_id, CASE WHEN c.n IS NULL THEN 'no-panel' WHEN c.n = 0 THEN 'empty' WHEN c.odd = 0 THEN 'clean' WHEN c.odd = c.n THEN 'fully-polluted' ELSE 'partially-polluted' END AS verdict FROM {_FILINGS} f LEFT JOIN c ON c.filing_id = f.id",
     "catalog_reconcile": "WITH a AS (SELECT DISTINCT peer_group_id, ticker_resolved AS t FROM peer_group_members WHERE ticker_resolved IS NOT NULL), b AS (SELECT DISTINCT id AS peer_group_id, m.ticker_resolved AS t FROM (SELECT id, unnest(members) AS m FROM peer_groups) WHERE m.ticker_resolved IS NOT NULL) SELECT CASE WHEN b.t IS NULL THEN 'flat only' WHEN a.t IS NULL THEN 'nested only' ELSE 'both' END AS status, count(*) AS n FROM a FULL JOIN b ON a.peer_group_id = b.peer_group_id AND a.t = b.t GROUP BY 1",

@@ -280,3 +280,13 @@ def test_streams_equal_batch(spark):
     batch = plans._events(spark, folder).groupBy(F.floor(F.col("at") / 1_000_000).alias("second")).count()
     last = batch.agg(F.max("second")).first()[0]
     assert s(jobs.run_available(jobs.rate_window(jobs.events(spark, folder))).where(F.col("second") < last - 1)) == s(batch.where(F.col("second") < last - 1))
+
+
+def test_key_deleted_and_created_again(spark):
+    refs = spark.createDataFrame([("k", DAY(5), 1), ("k", DAY(9), 2)], "key string, at timestamp, id int")
+    there = spark.createDataFrame([("k", DAY(1), 1), ("k", DAY(1), -1), ("k", DAY(7), 1)], "key string, at timestamp, sign int")
+    deltas = orphans.reference_deltas(refs, "t", F.col("key"), F.col("at"))
+    exist = orphans.existence_deltas(there, "t", F.col("key"), F.col("at"), F.col("sign"))
+    rows = refs.select(F.lit("t").alias("target"), "key", "at", "id")
+    for state in (orphans.fold(deltas.unionByName(exist)), orphans.fold(exist.where("exist_delta < 0"), orphans.fold(deltas.unionByName(exist.where("exist_delta > 0"))))):
+        assert [r["id"] for r in orphans.orphan_rows(rows, orphans.orphan_keys(state, timed=("t",))).collect()] == [1]
