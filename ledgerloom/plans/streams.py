@@ -20,8 +20,8 @@ def stream_rate_window(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_first_in_ten_minutes(spark: SparkSession, folder: str) -> DataFrame:
-    """Events without repeats, by a stream."""
-    return jobs.run_available(jobs.first_in_ten_minutes(jobs.events(spark, folder))).select("event_id", "user_id", "event_type")
+    """Events without repeats, by a stream with state."""
+    return jobs.run_available(jobs.first_in_ten_minutes(jobs.events(spark, folder)))
 
 
 def stream_in_flight_gate(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,4 +30,17 @@ def stream_in_flight_gate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (stream_job_states, stream_rate_window, stream_first_in_ten_minutes, stream_in_flight_gate)}
-ORACLES = {"stream_job_states": "SELECT user_id, arg_max(event_type, (epoch_us(ts), event_id)) AS status, max(epoch_us(ts)) AS \"at\", count(*) AS steps FROM events GROUP BY 1"}
+GATE_SQL = """
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS at FROM events),
+s AS (
+  SELECT user_id, arg_min(event_id, (at, event_id)) AS event_id, min(at) AS at FROM e GROUP BY user_id
+  UNION ALL
+  SELECT s.user_id, arg_min(e.event_id, (e.at, e.event_id)), min(e.at) FROM s JOIN e ON e.user_id = s.user_id AND e.at >= s.at + 90000000 GROUP BY s.user_id)
+SELECT event_id, user_id, event_id IN (SELECT event_id FROM s) AS started FROM e"""
+ORACLES = {
+    "stream_job_states": "SELECT user_id, arg_max(event_type, (epoch_us(ts), event_id)) AS status, max(epoch_us(ts)) AS \"at\", count(*) AS steps FROM events GROUP BY 1",
+    # a second is done when the watermark, a second behind the last event, has passed its end
+    "stream_rate_window": "SELECT second, count(*) AS events FROM (SELECT CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS second FROM events) WHERE (second + 1) * 1000 <= (SELECT epoch_ms(max(ts)) FROM events) - 1000 GROUP BY 1",
+    "stream_first_in_ten_minutes": "SELECT event_id, user_id, event_type FROM (SELECT *, lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR epoch_us(ts) - before > 600000000",
+    "stream_in_flight_gate": GATE_SQL,
+}

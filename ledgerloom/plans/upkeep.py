@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import upkeep
 from ledgerloom.plans.reads import _FILINGS, filings_of
+from ledgerloom.plans.streams import GATE_SQL
 from ledgerloom.sources.tables import table
 
 KEYS = ["filing_id", "fact_no"]
@@ -221,6 +222,7 @@ _ONLY_B = f"SELECT {_OUT} FROM {_B} b WHERE NOT EXISTS (SELECT 1 FROM metric_fac
 _JOBS = "(SELECT user_id, arg_max(event_type, (epoch_us(ts), event_id)) AS status, arg_max(event_type, (epoch_us(ts), event_id)) IN ('purchase', 'error') AS final, max(epoch_us(ts)) AS at, count(*) AS steps FROM events GROUP BY 1)".replace(" AS at,", ' AS "at",')
 
 ORACLES = {
+    "in_flight_gate": GATE_SQL,
     "facts_upserted": f"WITH x AS (SELECT *, 0 AS src FROM {_A} UNION ALL SELECT *, 1 FROM {_B}) SELECT {_OUT} FROM x QUALIFY row_number() OVER (PARTITION BY filing_id, fact_no ORDER BY updated_at DESC, src DESC) = 1",
     "facts_inserted": f"SELECT {_OUT} FROM {_A} UNION ALL {_ONLY_B}",
     "filings_replaced": f"WITH r AS (SELECT {_OUT} FROM {_B} WHERE filing_id IN (SELECT id FROM {_FILINGS} WHERE filing_year >= 2020)) SELECT {_OUT} FROM {_A} WHERE filing_id NOT IN (SELECT filing_id FROM r) UNION ALL SELECT * FROM r",

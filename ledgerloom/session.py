@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,12 +33,13 @@ def local_session(cores: str = "*", app: str = "ledgerloom", **conf: str) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only a local session, where driver and executors are one process, may fall back to a temporary folder.
+    Only a session on ``local`` or ``local[...]``, where driver and executors are one process, may fall back to a temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     named = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
     spark.conf.set("spark.checkpoint.dir", named)
@@ -43,18 +47,40 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_SCRATCH: list[list[str]] = []
+
+
+def stored(spark: SparkSession, path: str) -> str:
+    """Note that ``path`` is to go with the scratch it was made in, or else at exit."""
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    _remove_at_exit(spark, path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    Whatever is built on the result survives the loss of any executor, and the plan behind it runs once.
+    Whatever is built on the result survives the loss of any executor, and the plan behind it runs once. As a result is
+    read after its query has returned, the table stays until the surrounding ``scratch`` ends, or the program.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = stored(spark, f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Whatever is cut inside is deleted at the end; results must be written or collected by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            remove(spark, path)
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -69,16 +95,21 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(home.rglob("*.py")):
             z.write(p, p.relative_to(home.parent))
     spark.sparkContext.addPyFile(str(target))  # the driver serves it; workers fetch it from there
+    atexit.register(shutil.rmtree, target.parent, True)
     _SHIPPED.add(app)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system, if it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    def remove() -> None:
+    def at_exit() -> None:
         try:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+            remove(spark, path)
         except Exception:  # the session may be gone already
             pass
 
-    atexit.register(remove)
+    atexit.register(at_exit)

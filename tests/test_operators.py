@@ -253,17 +253,60 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in trees.universe(spark, str(tmp_path / "u.json")).collect()] == [("AB", "ab", "Ab Inc", "ab inc", "0000000012")]
     assert trees.blobs(spark, str(tmp_path / "t")).count() == 8
     assert trees.first_available(lambda: got.where("false"), lambda: got).count() == 8
-    assert trees.first_available(lambda: 1 / 0, lambda: got).count() == 8
+    assert trees.first_available(lambda: spark.read.parquet(str(tmp_path / "missing")), lambda: got).count() == 8
+    with pytest.raises(ZeroDivisionError):  # a fault is no missing source
+        trees.first_available(lambda: 1 / 0, lambda: got)
     lines = [r["line"] for r in trees.csv_report([("One", spark.createDataFrame([("a,b", None)], "x string, y string"))]).collect()]
     assert lines == ["One", "x,y", '"a,b",']
 
 
+def test_trees_are_replaced_whole(spark, tmp_path):
+    root = str(tmp_path / "tree")
+    rows = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "company string, filing string, id int")
+    assert trees.write_json_tree(rows, root, ["company", "filing"]) == 2
+    assert trees.write_json_tree(rows.where("id = 1"), root, ["company", "filing"]) == 1
+    assert [r["id"] for r in spark.read.json(root).collect()] == [1]
+    with pytest.raises(Exception, match="broken"):
+        trees.write_json_tree(rows.select("company", "filing", F.raise_error(F.lit("broken")).alias("id")), root, ["company", "filing"])
+    assert [r["id"] for r in spark.read.json(root).collect()] == [1] and [p.name for p in tmp_path.iterdir()] == ["tree"]
+
+
+def test_load_and_blobs(spark, tmp_path):
+    d = tmp_path / "t" / "a" / "x"
+    d.mkdir(parents=True)
+    (d / "sections.json").write_text('[{"id": 1}, {"id": 2}]')
+    (d / "empty.json").write_text("[]")
+    assert trees.load_tree(spark, str(tmp_path / "t"), str(tmp_path / "out"), {"sections": "id int", "empty": "id int"}) == {"sections": 2, "empty": 0}
+    assert spark.read.parquet(str(tmp_path / "out" / "sections.parquet")).count() == 2
+    trees.put_blob(spark, str(tmp_path / "b"), "a", "x", "doc.html", b"old")
+    trees.put_blob(spark, str(tmp_path / "b"), "a", "x", "doc.html", b"new")
+    assert [(r["name"], bytes(r["content"])) for r in trees.blobs(spark, str(tmp_path / "b")).collect()] == [("doc.html", b"new")]
+    assert trees.delete_blob(spark, str(tmp_path / "b"), "a", "x", "doc.html")
+    assert not trees.delete_blob(spark, str(tmp_path / "b"), "a", "x", "doc.html")
+
+
+def test_scratch_is_deleted(spark):
+    import pathlib
+
+    from ledgerloom.session import cut, scratch, shared_dir
+
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    with scratch(spark):
+        assert cut(spark.range(3)).count() == 3
+        assert set(folder.iterdir()) > before
+    assert set(folder.iterdir()) == before
+
+
 def test_discovery(spark):
     blocks = spark.createDataFrame([("c", ["1-1", "1-2"], ["DEF 14A", "8-K"], ["2021-02-01", "2021-01-01"], ["a", "b"])], "k string, accessionNumber array<string>, form array<string>, filingDate array<string>, primaryDocument array<string>")
     recent = trees.submissions(blocks, "k", ["DEF 14A"])
     assert [(r["id"], str(r["filing_date"])) for r in recent.collect()] == [("11", "2021-02-01")]
     old = recent.withColumn("accession_number", F.lit("0-9")).unionByName(recent)
     assert [r["accession_number"] for r in trees.discover(recent, old, "k", 2).collect()] == ["1-1", "0-9"]
+    # an archive is not read once the recent block is enough
+    unread = old.withColumn("form", F.raise_error(F.lit("read")).cast("string"))
+    assert [r["accession_number"] for r in trees.discover(recent, unread, "k", 1).collect()] == ["1-1"]
 
 
 def test_streams_equal_batch(spark):
@@ -282,6 +325,24 @@ def test_streams_equal_batch(spark):
     assert s(jobs.run_available(jobs.rate_window(jobs.events(spark, folder))).where(F.col("second") < last - 1)) == s(batch.where(F.col("second") < last - 1))
 
 
+def test_repeats_by_a_stream_of_several_batches(spark, tmp_path):
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    # kept unless the event before is within ten minutes, whether or not that one was kept
+    minutes = [0, 8, 16, 27, 27, 60, 70, 81]
+    rows = [(i, at(m), 1, "a", 0.0, "{}") for i, m in enumerate(minutes)] + [(100 + i, at(m), 1, "b", 0.0, "{}") for i, m in enumerate([0, 5, 500])]
+    df = spark.createDataFrame(rows, jobs.EVENTS)
+    folder = tmp_path / "events.parquet"
+    for a, b in ((0, 20), (20, 65), (65, 999)):  # three files in order of time
+        part = df.where((F.col("ts") >= F.lit(at(a))) & (F.col("ts") < F.lit(at(b))))
+        part.coalesce(1).write.mode("append").parquet(str(folder))
+    want = [0, 3, 5, 7, 100, 102]
+    assert sorted(r["event_id"] for r in jobs.run_available(jobs.first_in_ten_minutes(jobs.events(spark, str(tmp_path)))).collect()) == want
+    assert sorted(r["event_id"] for r in jobs.run_available(jobs.first_in_ten_minutes(jobs.events(spark, str(tmp_path), 1))).collect()) == want
+    empty = tmp_path / "none"
+    df.limit(0).write.parquet(str(empty / "events.parquet"))
+    assert jobs.run_available(jobs.first_in_ten_minutes(jobs.events(spark, str(empty)))).count() == 0
+
+
 def test_key_deleted_and_created_again(spark):
     refs = spark.createDataFrame([("k", DAY(5), 1), ("k", DAY(9), 2)], "key string, at timestamp, id int")
     there = spark.createDataFrame([("k", DAY(1), 1), ("k", DAY(1), -1), ("k", DAY(7), 1)], "key string, at timestamp, sign int")
