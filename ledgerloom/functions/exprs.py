@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # White space that the text functions treat as one kind, and letters that make a word.
 SPACE = "[\\t-\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
@@ -132,3 +136,17 @@ def html_text(c: Column) -> Column:
     for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         x = F.replace(x, F.lit(entity), F.lit(plain))
     return collapse(x)
+
+
+@F.pandas_udf(T.StringType())
+def _decomposed(c: pd.Series) -> pd.Series:
+    """Compatibility decomposition; Spark has no normal forms."""
+    return c.map(lambda x: unicodedata.normalize("NFKD", x), na_action="ignore")
+
+
+def plain_name(c: Column) -> Column:
+    """A name in lower case with "and" and "plus" for their signs, and blanks for all but a-z and 0-9; decomposed first where it is not plain."""
+    plain = c.rlike("^[ -~]*$")
+    x = F.when(plain, c).otherwise(_decomposed(F.when(~plain, c)))
+    x = F.replace(F.replace(x, F.lit("&"), F.lit(" and ")), F.lit("+"), F.lit(" plus "))
+    return F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))

@@ -187,3 +187,45 @@ def sentence_diff_udf(old_keys: pd.Series, old: pd.Series, new_keys: pd.Series,
 @F.pandas_udf(WORD_OPS)
 def word_diff_udf(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([[{"op": o, "word": w} for o, w in word_diff(a or "", b or "")] for a, b in zip(old, new)])
+
+
+#: Entries that a set holds at most.
+MOST_ENTRIES = 25
+
+
+def edit_set(entries: dict[str, bool], op: str, entry: str | None, most: int = MOST_ENTRIES) -> None:
+    """Apply one edit to a set in order of insertion, ``{entry: imported}``: an entry that is there keeps its place and its mark."""
+    if op == "clear":
+        entries.clear()
+    elif not entry:
+        return
+    elif op == "remove":
+        entries.pop(entry, None)
+    elif op == "mark" and entry in entries:
+        entries[entry] = True
+    elif op == "add" and entry not in entries and len(entries) < most:
+        entries[entry] = False
+
+
+def edit_sets(edits: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``key, place, entry, imported`` of the set that the edits ``(key, op, entry)`` of each key leave, applied in order.
+
+    Rows stream through sorted, with the set of one key as the only state. A null or empty entry changes nothing.
+    """
+    kind = edits.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, entries, fresh = None, {}, True
+        rows = lambda: [(own, i + 1, e, m) for i, (e, m) in enumerate(entries.items())]
+        for pdf in batches:
+            out = []
+            for k, op, entry in zip(pdf[key].tolist(), pdf["op"].tolist(), pdf["entry"].tolist()):
+                if fresh or k != own:
+                    out += rows()
+                    own, entries, fresh = k, {}, False
+                edit_set(entries, op, entry)
+            yield pd.DataFrame(out, columns=[key, "place", "entry", "imported"])
+        yield pd.DataFrame(rows(), columns=[key, "place", "entry", "imported"])
+
+    ordered = edits.select(key, *order, "op", "entry").repartition(key).sortWithinPartitions(key, *order)
+    return ordered.mapInPandas(run, f"`{key}` {kind}, place long, entry string, imported boolean")

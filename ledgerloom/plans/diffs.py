@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import exprs as X
 from ledgerloom.functions import text as T
 from ledgerloom.operators import sequential
-from ledgerloom.plans.reads import _EXECS, _RANKED, exec_rows, ranked_filings
+from ledgerloom.plans.reads import _EXECS, _RANKED, _key_sql, exec_rows, ranked_filings
 from ledgerloom.sources.tables import table
 
 
@@ -155,11 +155,12 @@ def prior_pay(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def peer_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """Peers of latest filings that file themselves, with their own latest year and number of facts."""
+    """Peers of latest filings that file themselves, by symbol, number or compared name, with their own latest year and number of facts."""
     latest = ranked_filings(spark, folder).where("rank = 1").select(F.col("id").alias("filing_id"), "company_id", "filing_year")
     g = table(spark, folder, "peer_groups").select(F.col("id").alias("peer_group_id"), "filing_id")
-    c = table(spark, folder, "companies").select(F.col("id").alias("peer_id"), X.company_key(F.col("name")).alias("key"), "name")
-    m = table(spark, folder, "peer_group_members").select("peer_group_id", X.company_key(F.col("company_name_raw")).alias("key"))
+    keys = lambda symbol, number, name: F.explode(F.array_distinct(F.array(F.concat(F.lit("s:"), F.lower(F.trim(symbol))), F.concat(F.lit("n:"), F.trim(number)), F.concat(F.lit("k:"), F.nullif(X.company_key(name), F.lit(""))))))
+    c = table(spark, folder, "companies").select(F.col("id").alias("peer_id"), "name", keys(F.col("ticker"), F.col("cik"), F.col("name")).alias("key")).where("key IS NOT NULL")
+    m = table(spark, folder, "peer_group_members").select("peer_group_id", keys(F.coalesce("ticker_resolved", "company_id_resolved"), F.col("cik_resolved"), F.col("company_name_raw")).alias("key")).where("key IS NOT NULL")
     facts = table(spark, folder, "metric_facts").groupBy("filing_id").agg(F.count(F.lit(1)).alias("facts"))
     own = latest.select(F.col("company_id").alias("peer_id"), F.col("filing_year").cast("long").alias("peer_year"), "filing_id").join(facts, "filing_id", "left").drop("filing_id")
     rows = m.join(c, "key").join(g, "peer_group_id").join(latest.select("filing_id", "company_id"), "filing_id").where("peer_id <> company_id").select("company_id", "peer_id", "name").distinct()
@@ -188,6 +189,7 @@ _KEY = "trim(regexp_replace(lower(translate(s, '‘’“”', '''''\"\"')), ' +
 _MEMBERS = f"(SELECT p.company_id, p.side, lower(coalesce(m.company_id_resolved, m.company_name_raw)) AS peer FROM (SELECT filing_id, unnest(members) AS m FROM peer_groups) g JOIN {_PAIRS} p ON p.filing_id = g.filing_id)"
 
 ORACLES = {
+    "peer_snapshot": f"WITH l AS (SELECT * FROM {_RANKED} WHERE rank = 1), k AS (SELECT id AS peer_id, name, unnest(['s:' || lower(trim(ticker)), 'n:' || trim(cik), 'k:' || nullif({_key_sql('name')}, '')]) AS key FROM companies), m AS (SELECT peer_group_id, unnest(['s:' || lower(trim(coalesce(ticker_resolved, company_id_resolved))), 'n:' || trim(cik_resolved), 'k:' || nullif({_key_sql('company_name_raw')}, '')]) AS key FROM peer_group_members), r AS (SELECT DISTINCT l.company_id, k.peer_id, k.name FROM m JOIN k ON k.key = m.key JOIN peer_groups g ON g.id = m.peer_group_id JOIN l ON l.id = g.filing_id WHERE k.peer_id <> l.company_id) SELECT r.*, CAST(o.filing_year AS BIGINT) AS peer_year, coalesce((SELECT count(*) FROM metric_facts f WHERE f.filing_id = o.id), 0) AS facts FROM r LEFT JOIN l o ON o.company_id = r.peer_id",
     "exec_diff": f"{_EXEC_DIFF} SELECT company_id, who, old_total, new_total, status, delta, pct FROM d",
     "yoy_change_summary": f"{_EXEC_DIFF} SELECT company_id, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("added", "removed", "changed", "unchanged")) + ", coalesce(sum(delta), 0.0::DOUBLE) AS net_delta FROM d GROUP BY company_id",
     "metric_diff": f"""WITH l AS (SELECT p.company_id, coalesce(metric_name_normalized, metric_name_raw) AS metric, p.side, arg_max({{'v': observed_value}}, (updated_at, id)) AS v FROM metric_facts m JOIN {_PAIRS} p ON p.filing_id = m.filing_id WHERE coalesce(metric_name_normalized, metric_name_raw) IS NOT NULL GROUP BY ALL),

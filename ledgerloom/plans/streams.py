@@ -31,11 +31,11 @@ def stream_in_flight_gate(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (stream_job_states, stream_rate_window, stream_first_in_ten_minutes, stream_in_flight_gate)}
 GATE_SQL = """
-WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS at FROM events),
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS came FROM events),
 s AS (
-  SELECT user_id, arg_min(event_id, (at, event_id)) AS event_id, min(at) AS at FROM e GROUP BY user_id
+  SELECT user_id, arg_min(event_id, (came, event_id)) AS event_id, min(came) AS came FROM e GROUP BY user_id
   UNION ALL
-  SELECT s.user_id, arg_min(e.event_id, (e.at, e.event_id)), min(e.at) FROM s JOIN e ON e.user_id = s.user_id AND e.at >= s.at + 90000000 GROUP BY s.user_id)
+  SELECT s.user_id, arg_min(e.event_id, (e.came, e.event_id)), min(e.came) FROM s JOIN e ON e.user_id = s.user_id AND e.came >= s.came + 90000000 GROUP BY s.user_id)
 SELECT event_id, user_id, event_id IN (SELECT event_id FROM s) AS started FROM e"""
 ORACLES = {
     "stream_job_states": "SELECT user_id, arg_max(event_type, (epoch_us(ts), event_id)) AS status, max(epoch_us(ts)) AS \"at\", count(*) AS steps FROM events GROUP BY 1",

@@ -150,7 +150,7 @@ def without_self(spark: SparkSession, folder: str) -> DataFrame:
     """Groups without the filer itself among the members; groups left empty are gone."""
     f = filings_of(spark, folder).select(F.col("id").alias("filing_id"), "company_id")
     g = table(spark, folder, "peer_groups").select("id", "filing_id", F.col("members.company_id_resolved").alias("ids")).join(f, "filing_id")
-    kept = g.select("id", F.filter("ids", lambda m: m.isNull() | (m != F.col("company_id"))).alias("ids"))
+    kept = g.select("id", F.filter("ids", lambda m: m.isNull() | (F.lower(F.trim(m)) != F.col("company_id"))).alias("ids"))
     return kept.select("id", F.size("ids").cast("long").alias("members")).where("members > 0")
 
 
@@ -239,7 +239,7 @@ SELECT g.id AS section_id, a.ticker, min(g.i) AS place, max(a.confidence) AS con
     "name_matches": f"SELECT m.company_name_raw, m.key, u.ticker FROM (SELECT DISTINCT company_name_raw, {_key_sql('company_name_raw')} AS key FROM peer_group_members) m LEFT JOIN (SELECT {_key_sql('name')} AS key, min(ticker) AS ticker FROM ticker_universe GROUP BY 1) u ON u.key = m.key AND u.key <> ''",
     "quality_gate": "WITH o AS (SELECT peer_group_id, array_to_string(list_sort(list(DISTINCT ticker_resolved)), ',') AS s FROM peer_group_members WHERE ticker_resolved IS NOT NULL AND ticker_resolved NOT IN (SELECT ticker FROM ticker_universe) GROUP BY 1) SELECT g.id AS peer_group_id, coalesce(o.s, '') AS suspects, CASE WHEN o.s IS NOT NULL THEN 'flagged' ELSE g.review_status END AS review_status, CASE WHEN o.s IS NOT NULL THEN 'rejected' ELSE g.verification_status END AS verification_status FROM peer_groups g LEFT JOIN o ON o.peer_group_id = g.id",
     "group_overlaps": "WITH g AS (SELECT id, filing_id, list_distinct(list_filter(list_transform(members, lambda m: lower(trim(m.company_id_resolved))), lambda x: x <> '')) AS ids FROM peer_groups), p AS (SELECT a.id AS a, b.id AS b, a.ids AS x, b.ids AS y, len(list_intersect(a.ids, b.ids)) AS c FROM g a JOIN g b ON a.filing_id = b.filing_id AND a.id < b.id WHERE len(a.ids) > 0 AND len(b.ids) > 0) SELECT a, b, CAST(floor(c / greatest(len(x), len(y)) * 1000 + 0.5) AS BIGINT) AS overlap, CAST(floor(c / (len(x) + len(y) - c) * 1000 + 0.5) AS BIGINT) AS jaccard, c = len(y) AS contains_b FROM p",
-    "without_self": f"WITH g AS (SELECT g.id, len(list_filter(g.members, lambda m: m.company_id_resolved IS NULL OR m.company_id_resolved <> f.company_id)) AS members FROM peer_groups g JOIN {_FILINGS} f ON f.id = g.filing_id) SELECT id, members FROM g WHERE members > 0",
+    "without_self": f"WITH g AS (SELECT g.id, len(list_filter(g.members, lambda m: m.company_id_resolved IS NULL OR lower(trim(m.company_id_resolved)) <> f.company_id)) AS members FROM peer_groups g JOIN {_FILINGS} f ON f.id = g.filing_id) SELECT id, members FROM g WHERE members > 0",
     "panel_verdicts": f"WITH r AS (SELECT filing_id, unnest(CASE WHEN len(members) = 0 THEN [NULL] ELSE list_transform(members, lambda m: m.ticker_resolved) END) AS t FROM peer_groups WHERE {_SHOWN}), c AS (SELECT filing_id, count(t) AS n, count(*) FILTER (t IS NOT NULL AND t NOT IN (SELECT ticker FROM ticker_universe)) AS odd FROM r GROUP BY 1) SELECT f.id AS filing_id, CASE WHEN c.n IS NULL THEN 'no-panel' WHEN c.n = 0 THEN 'empty' WHEN c.odd = 0 THEN 'clean' WHEN c.odd = c.n THEN 'fully-polluted' ELSE 'partially-polluted' END AS verdict FROM {_FILINGS} f LEFT JOIN c ON c.filing_id = f.id",
     "catalog_reconcile": "WITH a AS (SELECT DISTINCT peer_group_id, ticker_resolved AS t FROM peer_group_members WHERE ticker_resolved IS NOT NULL), b AS (SELECT DISTINCT id AS peer_group_id, m.ticker_resolved AS t FROM (SELECT id, unnest(members) AS m FROM peer_groups) WHERE m.ticker_resolved IS NOT NULL) SELECT CASE WHEN b.t IS NULL THEN 'flat only' WHEN a.t IS NULL THEN 'nested only' ELSE 'both' END AS status, count(*) AS n FROM a FULL JOIN b ON a.peer_group_id = b.peer_group_id AND a.t = b.t GROUP BY 1",
     "tag_histogram": "SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(html_fragment), '<([a-z][a-z0-9]*)', 1)) AS tag FROM sections WHERE html_fragment IS NOT NULL) GROUP BY 1",

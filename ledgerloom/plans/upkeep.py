@@ -69,11 +69,13 @@ def unreviewed_updated(spark: SparkSession, folder: str) -> DataFrame:
     return _out(upkeep.insert_absent(changed, new, KEYS))
 
 
-def rejected_deleted(spark: SparkSession, folder: str) -> DataFrame:
-    """Filings with rejected groups: groups before and after their deletion."""
+def rejected_deleted(spark: SparkSession, folder: str, most: int = 1_000_000) -> DataFrame:
+    """Filings with rejected groups: groups before and after their bounded deletion."""
     g = table(spark, folder, "peer_groups").select("id", "filing_id", "verification_status")
-    doomed = g.where("verification_status = 'rejected'").select("id", F.lit(1).alias("gone"))
-    return g.join(doomed, "id", "left").groupBy("filing_id").agg(F.count(F.lit(1)).alias("before"), F.count_if(F.col("gone").isNull()).alias("after")).where("before > after")
+    kept = upkeep.bounded_delete(g, g.where("verification_status = 'rejected'").select("id"), ["id"], most)
+    after = kept.groupBy("filing_id").agg(F.count(F.lit(1)).alias("after"))
+    before = g.groupBy("filing_id").agg(F.count(F.lit(1)).alias("before"))
+    return before.join(after, "filing_id", "left").select("filing_id", "before", F.coalesce("after", F.lit(0)).alias("after")).where("before > after")
 
 
 def review_states(spark: SparkSession, folder: str) -> DataFrame:
