@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ledgerloom.llm import names
+from ledgerloom.session import cut
 
 #: Edits that a stem of usual length may contain; short stems allow fewer.
 K = 2
@@ -49,7 +50,7 @@ def stem_candidates(typed: DataFrame, listed: DataFrame) -> DataFrame:
     )
 
 
-def map_names(typed: DataFrame, column: str, universe: DataFrame) -> DataFrame:
+def map_names(typed: DataFrame, column: str, universe: DataFrame, persist=cut) -> DataFrame:
     """Each distinct name of ``typed`` with the ``ticker`` it means; the empty string if it means none.
 
     A candidate must not contradict the lines of business the name gives. Among candidates the fewest
@@ -58,26 +59,29 @@ def map_names(typed: DataFrame, column: str, universe: DataFrame) -> DataFrame:
     and repeated entries count once; other columns of either input are not read.
     """
     spark = typed.sparkSession
-    known = names.sectors_of(universe)
-    entries = names.parts(universe.selectExpr("ticker", "name").distinct(), "name", known)
-    asked = names.parts(typed.selectExpr(f"{column} AS raw").distinct(), "raw", known)
+    listed = universe.selectExpr("ticker", "name").distinct()
+    sectors = persist(names.lexicon(listed))
+    entries = names.parts(listed, "name", listed, sectors, persist=persist).join(listed.withColumnRenamed("name", "raw"), "raw")
+    entries = persist(entries)
+    asked = persist(names.parts(typed.selectExpr(f"{column} AS raw"), "raw", listed, sectors, persist=persist))
     near = stem_candidates(asked.select("stem").distinct(), entries.select("stem").distinct())
-    matched = spark.sql(
-        """
-        WITH scored AS (
-          SELECT a.raw, e.ticker, struct(
-                   -n.edits AS edits, coalesce(a.symbol = lower(e.ticker), false) AS symbol,
-                   a.sectors = e.sectors AS sectors, a.legal = e.legal AS legal) AS score
-          FROM {asked} a JOIN {near} n ON n.typed = a.stem JOIN {entries} e ON e.stem = n.listed
-          WHERE size(array_except(a.sectors, e.sectors)) = 0),
-        best AS (
-          SELECT raw, max(score) AS score FROM scored GROUP BY raw)
-        SELECT s.raw, min(s.ticker) AS ticker FROM scored s JOIN best b ON s.raw = b.raw AND s.score = b.score
-        GROUP BY s.raw HAVING count(DISTINCT s.ticker) = 1
-        """,
-        asked=asked,
-        near=near,
-        entries=entries,
+    matched = persist(
+        spark.sql(
+            f"""
+            WITH scored AS (
+              SELECT a.raw, e.ticker, struct(
+                       -n.edits AS edits, coalesce(a.symbol = lower(e.ticker), false) AS symbol,
+                       size(a.sectors) = size(e.sectors) AND {names.covered("e.sectors", "a.sectors")} AS sectors, a.legal = e.legal AS legal) AS score
+              FROM {{asked}} a JOIN {{near}} n ON n.typed = a.stem JOIN {{entries}} e ON e.stem = n.listed
+              WHERE {names.covered("a.sectors", "e.sectors")}),
+            best AS (SELECT raw, max(score) AS score FROM scored GROUP BY raw)
+            SELECT s.raw, min(s.ticker) AS ticker FROM scored s JOIN best b ON s.raw = b.raw AND s.score = b.score
+            GROUP BY s.raw HAVING count(DISTINCT s.ticker) = 1
+            """,
+            asked=asked,
+            near=near,
+            entries=entries,
+        )
     )
     return spark.sql(
         """

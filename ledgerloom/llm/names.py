@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ledgerloom.operators.skew import salted_lookup
+from ledgerloom.session import cut
+
 # Legal forms and the form they stand for.
 LEGAL = {
     "inc": "inc",
@@ -27,34 +30,13 @@ LEGAL = {
     "hldgs": "holdings",
     "grp": "group",
 }
-# Short forms that are no beginning of the word they stand for, or of more than one.
-SHORT = {
-    "comms": "communications",
-    "engy": "energy",
-    "finl": "financial",
-    "inds": "industries",
-    "ins": "insurance",
-    "instr": "instruments",
-    "intl": "international",
-    "labs": "laboratories",
-    "logist": "logistics",
-    "matls": "materials",
-    "mfg": "manufacturing",
-    "pharma": "pharmaceuticals",
-    "pkg": "packaging",
-    "props": "properties",
-    "res": "resources",
-    "softw": "software",
-    "svcs": "services",
-    "sys": "systems",
-}
-# Lines of business beside those that the reference list shows to be common.
-TRADES = ["airlines", "bakery", "bank", "capital", "cooperative", "hotels", "media", "mining", "partners", "railways", "retail", "shipping", "theatres", "vineyards", "ventures"]
 # Letters with built-in accents and the plain letters they are compared as.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
-#: A word of at least so many entries of the reference list names a line of business.
-COMMON = 10
+#: A word names a line of business if it stands in this share of the entries of the reference list, and in so many at least.
+SHARE, FEWEST = 1 / 300, 10
+#: Letters of a short form.
+SHORTEST, LONGEST_SHORT = 2, 6
 
 
 def _map(pairs: dict[str, str]) -> str:
@@ -77,52 +59,133 @@ def _symbol(column: str) -> str:
     return f"coalesce(nullif({found % 1}, ''), nullif({found % 2}, ''))"
 
 
-def sectors_of(universe: DataFrame, name: str = "name") -> DataFrame:
-    """One row, ``words``: the words of at least ``COMMON`` entries other than legal forms, and ``TRADES``.
+def lexicon(universe: DataFrame, name: str = "name") -> DataFrame:
+    """``word``: the words that name a line of business, by their share of the entries; legal forms are none.
 
-    The reference list bounds its size, and it is a frequency that decides, not a list kept here.
+    An entry of w words holds w of them at most, so there are at most w / ``SHARE``, however long the list is.
     """
     return universe.sparkSession.sql(
         f"""
-        SELECT sort_array(array_union(coalesce(collect_list(word), array()), split('{" ".join(TRADES)}', ' '))) AS words FROM (
-          SELECT word FROM (SELECT explode(array_distinct(split({_cleaned(name)}, ' '))) AS word FROM {{u}})
-          WHERE length(word) > 3 AND NOT map_contains_key({_map(LEGAL)}, word)
-          GROUP BY word HAVING count(*) >= {COMMON})
+        WITH entries AS (SELECT DISTINCT {name} AS name FROM {{u}}),
+        words AS (SELECT explode(array_distinct(split({_cleaned("name")}, ' '))) AS word FROM entries)
+        SELECT word FROM words WHERE length(word) > 3 AND NOT map_contains_key({_map(LEGAL)}, word)
+        GROUP BY word HAVING count(*) >= greatest({FEWEST}, {SHARE} * (SELECT count(*) FROM entries))
+        """,
+        u=universe,
+    )
+
+
+def _tokenised(names: DataFrame, column: str) -> DataFrame:
+    """Distinct names with their ``symbol`` and words ``ws``."""
+    return names.sparkSession.sql(
+        f"""
+        SELECT {column} AS raw, {_symbol(column)} AS symbol,
+               filter(split(coalesce({_cleaned(column)}, ''), ' '), w -> w NOT IN ('', '&', 'and', 'the')) AS ws
+        FROM (SELECT DISTINCT {column} FROM {{n}})
         """,
-        u=universe.select(name),
+        n=names,
     )
 
 
-def parts(names: DataFrame, column: str, sectors: DataFrame) -> DataFrame:
-    """``names`` with ``stem``, ``sectors`` and ``legal`` (sorted arrays) and ``symbol`` of each name.
+def _plain_stem(word: str) -> str:
+    """Letters that are mistaken for others when a page is read, as the likelier ones."""
+    return f"translate(replace({word}, 'rn', 'm'), '01', 'ol')"
+
+
+def short_forms(typed: DataFrame, listed: DataFrame, words: DataFrame) -> DataFrame:
+    """``word, sector``: short forms that are no beginning of their word, learned from the names themselves.
+
+    Where a typed name and a listed one begin with the same word, a further word of the typed name stands for a line of
+    business of the listed one if it has its first letter and all its letters in order. The line that most such
+    beginnings speak for is taken. Both frames come from ``_tokenised``.
+    """
+    return typed.sparkSession.sql(
+        f"""
+        WITH t AS (
+          SELECT DISTINCT {_plain_stem("get(ws, 0)")} AS first, word FROM {{typed}} LATERAL VIEW explode(slice(ws, 2, greatest(size(ws), 1))) AS word
+          WHERE length(word) BETWEEN {SHORTEST} AND {LONGEST_SHORT} AND NOT map_contains_key({_map(LEGAL)}, word)),
+        e AS (SELECT DISTINCT {_plain_stem("get(ws, 0)")} AS first, word AS sector FROM {{listed}} LATERAL VIEW explode(slice(ws, 2, greatest(size(ws), 1))) AS word),
+        l AS (SELECT e.first, e.sector FROM e JOIN {{words}} w ON w.word = e.sector),
+        votes AS (
+          SELECT t.word, l.sector, count(*) AS n FROM t JOIN l ON t.first = l.first
+          WHERE t.word <> l.sector AND left(t.word, 1) = left(l.sector, 1) AND NOT startswith(l.sector, t.word)
+            AND l.sector RLIKE array_join(split(t.word, ''), '.*')
+          GROUP BY t.word, l.sector)
+        SELECT word, max_by(sector, struct(n, sector)) AS sector FROM votes GROUP BY word
+        """,
+        typed=typed,
+        listed=listed,
+        words=words,
+    )
+
+
+def word_meanings(words: DataFrame, sectors: DataFrame, learned: DataFrame) -> DataFrame:
+    """``word, sector, later``: of the distinct ``words`` those that stand for a line of business of ``sectors``.
+
+    A word is such a line, or the beginning of one, or a learned short form, or one typed with up to two slips, found by the
+    pigeonhole join. Where several lines fit equally well, ``sector`` holds all, parted by bars. Where a name begins with the word it means the line if
+    ``later`` is 0, only beside a word that names no line if it is 1, and never if it is 2.
+    """
+    from ledgerloom.llm.canonical import stem_candidates
+
+    slips = stem_candidates(words.selectExpr("word AS stem").where("length(word) > 5"), sectors.selectExpr("word AS stem"))
+    return words.sparkSession.sql(
+        f"""
+        WITH ways AS (
+          SELECT w.word, w.word AS sector, 0 AS way, 0 AS edits FROM {{w}} w JOIN {{s}} s ON s.word = w.word
+          UNION ALL
+          SELECT w.word, p.sector, CASE WHEN length(w.word) > 3 THEN 1 ELSE 2 END, 0
+          FROM {{w}} w JOIN (SELECT word AS sector, explode(transform(sequence(3, least({LONGEST_SHORT}, length(word) - 1)), n -> left(word, n))) AS start FROM {{s}}) p ON p.start = w.word
+          UNION ALL
+          SELECT w.word, l.sector, 3, 0 FROM {{w}} w JOIN {{l}} l ON l.word = w.word
+          UNION ALL
+          SELECT typed, listed, 4, edits FROM {{slips}}),
+        best AS (SELECT word, min(struct(way, edits)) AS b FROM ways GROUP BY word)
+        SELECT w.word, array_join(array_sort(collect_set(w.sector)), '|') AS sector, CASE WHEN first(w.way) < 2 THEN 0 WHEN first(w.way) < 4 THEN 1 ELSE 2 END AS later
+        FROM ways w JOIN best b ON b.word = w.word AND w.way = b.b.way AND w.edits = b.b.edits GROUP BY w.word
+        """,
+        w=words,
+        s=sectors,
+        l=learned,
+        slips=slips,
+    )
+
+
+def parts(names: DataFrame, column: str, universe: DataFrame, sectors: DataFrame | None = None, name: str = "name", persist=cut) -> DataFrame:
+    """``raw`` with ``stem``, ``sectors`` and ``legal`` (sorted arrays) and ``symbol`` of each distinct name.
 
     The stem is what neither a line of business nor a legal form claims, run together, so a stem that was
-    torn apart or hyphenated is whole again; ``0`` and ``1`` inside it are read as letters. Null and empty
-    names have an empty stem.
+    torn apart or hyphenated is whole again; ``0`` and ``1`` inside it are read as letters. A word that may stand for several
+    lines of business gives them parted by bars. Null and empty names have an empty stem. Each distinct word is looked up once.
+    ``sectors`` is the stored lexicon of ``universe``, if it is at hand.
     """
+    sectors = persist(lexicon(universe, name)) if sectors is None else sectors
+    tokens = persist(_tokenised(names, column))
+    learned = short_forms(tokens, _tokenised(universe, name), sectors)
+    placed = tokens.selectExpr("raw", "posexplode(ws) AS (i, word)")
+    legal = f"map_contains_key({_map(LEGAL)}, word)"
+    meanings = persist(word_meanings(placed.where(f"NOT {legal}").select("word").distinct(), sectors, learned))
+    read = salted_lookup(placed, meanings, ["word"], "left")
     return names.sparkSession.sql(
         f"""
-        WITH words AS (
-          SELECT n.*, {_symbol(column)} AS symbol, s.words AS known,
-                 filter(split(coalesce({_cleaned(column)}, ''), ' '), w -> w NOT IN ('', '&', 'and', 'the')) AS ws
-          FROM {{n}} n CROSS JOIN {{s}} s),
-        read AS (
-          SELECT *, transform(ws, (w, i) -> CASE
-            WHEN map_contains_key({_map(LEGAL)}, w) THEN struct('l' AS kind, element_at({_map(LEGAL)}, w) AS word)
-            WHEN map_contains_key({_map(SHORT)}, w) THEN struct('s' AS kind, element_at({_map(SHORT)}, w) AS word)
-            WHEN array_contains(known, w) THEN struct('s' AS kind, w AS word)
-            WHEN length(w) BETWEEN 4 AND 6 AND size(filter(known, k -> startswith(k, w))) = 1
-              THEN struct('s' AS kind, filter(known, k -> startswith(k, w))[0] AS word)
-            WHEN length(w) > 5 AND i > 0 AND exists(known, k -> levenshtein(k, w, 2) >= 0)
-              THEN struct('s' AS kind, array_min(transform(filter(known, k -> levenshtein(k, w, 2) >= 0),
-                     k -> struct(levenshtein(k, w, 2) AS d, k AS k))).k AS word)
-            ELSE struct('n' AS kind, w AS word) END) AS tagged FROM words)
-        SELECT * EXCEPT (ws, known, tagged),
-          translate(replace(array_join(transform(filter(tagged, t -> t.kind = 'n'), t -> t.word), ''), 'rn', 'm'), '01', 'ol') AS stem,
+        WITH tagged AS (
+          SELECT raw, i, word, CASE WHEN {legal} THEN 'l' WHEN sector IS NULL THEN 'n' WHEN i = 0 AND later = 2 THEN 'n' WHEN i = 0 AND later = 1 THEN '?' ELSE 's' END AS kind,
+                 CASE WHEN {legal} THEN element_at({_map(LEGAL)}, word) ELSE sector END AS means FROM {{read}}),
+        whole AS (SELECT raw, array_sort(collect_list(struct(i, word, kind, means))) AS ws FROM tagged GROUP BY raw),
+        settled AS (
+          SELECT raw, transform(ws, w -> CASE WHEN w.kind = 'n' OR (w.kind = '?' AND NOT exists(ws, v -> v.kind = 'n')) THEN struct('n' AS kind, w.word AS word)
+            WHEN w.kind = 'l' THEN struct('l' AS kind, w.means AS word) ELSE struct('s' AS kind, w.means AS word) END) AS tagged FROM whole),
+        every AS (SELECT t.raw, t.symbol, coalesce(w.tagged, array()) AS tagged FROM {{tokens}} t LEFT JOIN settled w ON w.raw <=> t.raw)
+        SELECT raw, symbol, {_plain_stem("array_join(transform(filter(tagged, t -> t.kind = 'n'), t -> t.word), '')")} AS stem,
           array_sort(array_distinct(transform(filter(tagged, t -> t.kind = 's'), t -> t.word))) AS sectors,
           array_sort(array_distinct(transform(filter(tagged, t -> t.kind = 'l'), t -> t.word))) AS legal
-        FROM read
+        FROM every
         """,
-        n=names,
-        s=sectors,
+        read=read,
+        tokens=tokens,
     )
+
+
+def covered(a: str, b: str) -> str:
+    """Whether each line of business of ``a`` may be one of ``b``."""
+    return f"forall({a}, x -> exists({b}, y -> arrays_overlap(split(x, '[|]'), split(y, '[|]'))))"

@@ -14,8 +14,8 @@ from ledgerloom.sources.tables import latest_load, table
 MEMBERS_A_TASK = 2_000
 
 
-def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The ticker that each unresolved member means, or the empty string."""
+def _mapped_members(spark: SparkSession, folder: str) -> DataFrame:
+    """``member_id, raw, ticker`` of the unresolved members."""
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     members = (
         table(spark, folder, "peer_group_members")
@@ -24,13 +24,18 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
         .distinct()
     )
     mapped = canonical.map_names(members.select("raw"), "raw", table(spark, folder, "ticker_universe"))
-    return salted_lookup(members, mapped, ["raw"]).groupBy("member_id").agg(F.max("ticker").alias("ticker"))
+    return salted_lookup(members, mapped, ["raw"])
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The ticker that each unresolved member means, or the empty string."""
+    return _mapped_members(spark, folder).groupBy("member_id").agg(F.max("ticker").alias("ticker"))
 
 
 def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
-    """How many unresolved members mean no entry of the list."""
-    found = p1_found(spark, folder)
-    return found.groupBy((F.col("ticker") == "").alias("unmatched")).agg(F.count(F.lit(1)).alias("members"))
+    """The names that mean no entry of the list, and how many unresolved members have each."""
+    rows = _mapped_members(spark, folder).where("ticker = ''")
+    return rows.groupBy(F.col("raw").alias("company_name_raw")).agg(F.countDistinct("member_id").alias("rows"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,20 +122,29 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return used.agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.sum(packing.CAPACITY - F.col("tokens")).alias("unused"))
 
 
-def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Reading level of every prose text."""
+def _levels(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     prose = documents.where(F.col("text").rlike("[^\\s\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]") & ~F.col("doc_type").isin("figures", "fragment"))
     return reading.reading_levels(prose, "doc_id", "text", "lang", table(spark, folder, "reading_labels"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Reading level of every prose text."""
+    return _levels(spark, folder).select("doc_id", "level")
+
+
 def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
-    """How many texts there are of each level and document type."""
+    """How many texts there are of each level and document type, and by which model they were rated."""
     documents = table(spark, folder, "documents").select("doc_id", "doc_type")
-    return documents.join(p9_found(spark, folder), "doc_id").groupBy("doc_type", "level").agg(F.count(F.lit(1)).alias("documents"))
+    return documents.join(_levels(spark, folder), "doc_id").groupBy("doc_type", "level", "model").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def p9_formula(spark: SparkSession, folder: str) -> DataFrame:
+    """The published formula beside the fitted one: how many texts get which pair of levels."""
+    return _levels(spark, folder).groupBy("level", "formula").agg(F.count(F.lit(1)).alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_classes, p4_found, p4_forms, p5_found, p7_ids, p7_round_trip, p8_containers, p8_fill, p9_found, p9_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_classes, p4_found, p4_forms, p5_found, p7_ids, p7_round_trip, p8_containers, p8_fill, p9_found, p9_profile, p9_formula)}
 ORACLES = {
     "p4_found": f"SELECT DISTINCT section_id, field FROM ({forms.sql(['id AS section_id'], ['text', 'heading'], 'sections')})",
     "p4_forms": f"SELECT section_id, field, form FROM ({forms.sql(['id AS section_id'], ['text', 'heading'], 'sections')})",

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerloom.session import cut
+
 #: Languages that get word lists of their own; every text is read in the likeliest of them.
 LANGUAGES = ("en", "de", "fr", "es")
 #: Lengths of the lists of frequent words. The longest bounds what is sent to the workers.
@@ -28,6 +30,8 @@ TELLING = 500
 FOREIGN = 8
 #: Most labelled documents that the trees are fitted to: those of the smallest hash of their id.
 LABELLED = 20_000
+#: Labelled documents that it takes to fit weights; a language with fewer is rated by those of all languages.
+LEAST_LABELS = 50
 #: Distinct words a worker counts before it passes them on.
 COUNTED = 200_000
 
@@ -44,8 +48,17 @@ def _plain(text: str) -> str:
     return MARKUP.sub(" ", text) if "<" in text or "&" in text or "\r" in text else text
 
 
-def word_counts(df: DataFrame, text: str, language: str) -> DataFrame:
-    """``lang, word, n``: in how many documents of a stated language a word occurs; the empty word counts documents."""
+def likeliest(seen: set[str], telling: dict[str, dict[str, float]]) -> int:
+    """The language, as an index, whose telling words a text holds most of."""
+    return max(range(len(LANGUAGES)), key=lambda i: sum(telling[LANGUAGES[i]].get(w, 0.0) for w in seen))
+
+
+def word_counts(df: DataFrame, text: str, language: str, telling=None) -> DataFrame:
+    """``lang, word, n``: in how many documents of a language a word occurs; the empty word counts documents.
+
+    Without ``telling`` those of the texts whose language is stated; with that broadcast, those of all others, each under its
+    likeliest language.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {x: Counter() for x in LANGUAGES}
@@ -59,13 +72,15 @@ def word_counts(df: DataFrame, text: str, language: str) -> DataFrame:
 
         for batch in batches:
             for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts[x].update({"", *_words(_plain(t))})
+                seen = set(_words(_plain(t)))
+                counts[x if telling is None else LANGUAGES[likeliest(seen, telling.value)]].update({"", *seen})
                 if sum(map(len, counts.values())) > COUNTED:
                     yield out()
         yield out()
 
-    stated = df.where(F.col(language).isin(*LANGUAGES) & F.col(text).isNotNull()).select(text, language)
-    return stated.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    stated = F.coalesce(F.col(language).isin(*LANGUAGES), F.lit(False))
+    some = df.where((stated if telling is None else ~stated) & F.col(text).isNotNull()).select(text, language)
+    return some.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def word_lists(counts: DataFrame) -> tuple[dict[str, dict[str, int]], dict[str, dict[str, float]]]:
@@ -103,7 +118,7 @@ def figures(text: str, ranks: dict[str, dict[str, int]], telling: dict[str, dict
     if not words:
         return 0, [0.0] * (len(LISTS) + 1)
     seen = set(words)
-    at = max(range(len(LANGUAGES)), key=lambda i: sum(telling[LANGUAGES[i]].get(w, 0.0) for w in seen))
+    at = likeliest(seen, telling)
     rank = ranks[LANGUAGES[at]]
     known = np.fromiter((rank.get(w, LISTS[-1]) for w in words), np.int32, len(words))
     outside = 1 - np.searchsorted(np.sort(known), LISTS) / len(words)
@@ -182,20 +197,26 @@ class Formula:
 
     def __init__(self):
         self.fitted: dict[int, tuple[Weights, Trees]] = {}
+        self.models: dict[int, str] = {}
 
     def fit(self, language: np.ndarray, x: np.ndarray, level: np.ndarray) -> Formula:
         for at in range(len(LANGUAGES)):
             own = language == at
             # too few of a language: learn from all
-            use = own if own.sum() >= 50 else np.ones(len(level), bool)
-            if use.sum() >= 50:
+            use = own if own.sum() >= LEAST_LABELS else np.ones(len(level), bool)
+            if use.sum() >= LEAST_LABELS:
+                self.models[at] = "own language" if use is own else "all languages"
                 self.fitted[at] = Weights().fit(x[use], level[use]), Trees().fit(x[use], level[use])
         return self
 
-    def levels(self, language: np.ndarray, x: np.ndarray) -> np.ndarray:
-        # familiar-word formula: 15.79 x share of words outside 3,000 + 0.0496 x sentence length, and its bounds
+    @staticmethod
+    def published(x: np.ndarray) -> np.ndarray:
+        """Levels by the familiar-word formula: 15.79 x share of words outside the list + 0.0496 x sentence length, and its bounds."""
         score = 15.79 * x[:, len(LISTS) - 1] + 0.0496 * x[:, -1]
-        out = 1 + (score >= 1.0) + (score >= 2.0) + (score >= 3.0)
+        return 1 + (score >= 1.0) + (score >= 2.0) + (score >= 3.0)
+
+    def levels(self, language: np.ndarray, x: np.ndarray) -> np.ndarray:
+        out = self.published(x)
         for at, (weights, trees) in self.fitted.items():
             own = language == at
             if own.any():
@@ -204,14 +225,19 @@ class Formula:
 
 
 def reading_levels(df: DataFrame, key: str, text: str, language: str, labels: DataFrame) -> DataFrame:
-    """``key, level`` of every row; ``labels(key, level)`` may rate a row several times.
+    """``key, level, formula, model`` of every row; ``labels(key, level)`` may rate a row several times.
 
-    Statistics are taken over all rows; at most ``LABELLED`` labelled rows are used for fitting. Without at
-    least 50 labels the published formula decides. A text without words has the lowest figures. ``df`` has
-    no null texts; an empty table gives an empty one.
+    Document frequencies are taken over all rows: first those of stated language, then the others under the language that
+    these tell. At most ``LABELLED`` labelled rows are used for fitting. ``model`` tells what rated a row: weights of its own
+    language, or of all languages where it has fewer than ``LEAST_LABELS`` labels, or the published formula where all have
+    fewer. ``formula`` is the level by the published formula in any case. A text without words has the lowest figures.
+    ``df`` has no null texts; an empty table gives an empty one.
     """
     spark = df.sparkSession
-    ranks, telling = word_lists(word_counts(df, text, language))
+    counts = cut(word_counts(df, text, language))
+    _, telling = word_lists(counts)
+    others = word_counts(df, text, language, spark.sparkContext.broadcast(telling))
+    ranks, telling = word_lists(cut(counts.unionByName(others).groupBy("lang", "word").agg(F.sum("n").alias("n"))))
     lists = spark.sparkContext.broadcast((ranks, telling))  # bounded by LISTS and LANGUAGES
     kind = df.schema[key].dataType.simpleString()
 
@@ -227,7 +253,7 @@ def reading_levels(df: DataFrame, key: str, text: str, language: str, labels: Da
     described = some.mapInArrow(describe, f"`{key}` {kind}, at int, x array<double>")
     known = described.join(F.broadcast(chosen), key).select("at", "x", "_level").toPandas()
     formula = Formula()
-    if len(known) >= 50:
+    if len(known) >= LEAST_LABELS:
         formula.fit(known["at"].to_numpy(), np.stack(known["x"].to_list()), known["_level"].to_numpy(float))
     shared = spark.sparkContext.broadcast(formula)
 
@@ -237,7 +263,8 @@ def reading_levels(df: DataFrame, key: str, text: str, language: str, labels: Da
             if not batch.num_rows:
                 continue
             at, x = zip(*(figures(t, ranks, telling) for t in batch.column(text).to_pylist()))
-            level = shared.value.levels(np.array(at), np.array(x))
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(level.astype(np.int32))], [key, "level"])
+            at, x, own = np.array(at), np.array(x), shared.value
+            columns = [pa.array(own.levels(at, x).astype(np.int32)), pa.array(own.published(x).astype(np.int32)), pa.array([own.models.get(i, "formula") for i in at.tolist()])]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *columns], [key, "level", "formula", "model"])
 
-    return df.select(key, text).mapInArrow(rate, f"`{key}` {kind}, level int")
+    return df.select(key, text).mapInArrow(rate, f"`{key}` {kind}, level int, formula int, model string")

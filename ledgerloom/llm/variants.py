@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import names
+from ledgerloom.operators.skew import salted_lookup
 from ledgerloom.session import cut
 
 Q, E = 2, 3
@@ -124,7 +125,7 @@ def candidates(spellings: DataFrame, group: list[str], name: str) -> DataFrame:
     """Pairs ``name_a < name_b`` of a group whose stems share one of their rarest grams."""
     grams = spellings.where(F.col("stem") != "").select(*group, name, F.explode(F.array_distinct(_grams(F.col("stem")))).alias("gram"))
     counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = grams.join(counts, "gram").groupBy(*group, name).agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("all"))
+    ranked = salted_lookup(grams, counts, ["gram"]).groupBy(*group, name).agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("all"))
     prefix = ranked.select(*group, name, F.explode(F.slice("all", 1, Q * E + 1)).alias("g")).select(*group, name, F.col("g.gram").alias("gram"))
     a, b = prefix.withColumnRenamed(name, "name_a"), prefix.withColumnRenamed(name, "name_b")
     return a.join(b, [*group, "gram"]).where("name_a < name_b").select(*group, "name_a", "name_b").distinct()
@@ -182,7 +183,7 @@ def weigh(spellings: DataFrame, group: list[str], name: str) -> DataFrame:
     n = spellings.select(F.count(F.lit(1)).alias("n"))
     counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     weight = F.log(F.lit(1.0) + F.col("n") / F.col("df"))
-    weighed = each.join(counts.crossJoin(n), "token").groupBy(*group, name).agg(
+    weighed = salted_lookup(each, counts.crossJoin(F.broadcast(n)), ["token"]).groupBy(*group, name).agg(
         F.array_sort(F.collect_list(F.struct("token", weight.alias("weight")))).alias("weighed")
     )
     return spellings.join(weighed, [*group, name])
@@ -236,8 +237,11 @@ def person_contradicts(a: Column, b: Column, slips: int) -> Column:
 
 
 def company_contradicts(a: Column, b: Column, slips: int) -> Column:
-    inside = (F.size(F.array_except(a["sectors"], b["sectors"])) == 0) | (F.size(F.array_except(b["sectors"], a["sectors"])) == 0)
-    return ~inside
+    def covered(x: Column, y: Column) -> Column:
+        lines = lambda s: F.split(s, "[|]")
+        return F.forall(x["sectors"], lambda s: F.exists(y["sectors"], lambda t: F.arrays_overlap(lines(s), lines(t))))
+
+    return ~(covered(a, b) | covered(b, a))
 
 
 def _own_names(df: DataFrame, group: list[str], name: str) -> tuple[DataFrame, list[str]]:
@@ -261,5 +265,8 @@ def link_persons(df: DataFrame, group: list[str], name: str, persist=cut) -> Dat
 def link_companies(df: DataFrame, group: list[str], name: str, universe: DataFrame, persist=cut) -> DataFrame:
     """Link the spellings of organisations; null and empty names link to nothing, repeated rows count once."""
     distinct, own = _own_names(df, group, name)
-    spellings = names.parts(distinct, "_name", names.sectors_of(universe)).withColumn("tokens", F.array_distinct(F.concat(F.array("stem"), "sectors", "legal")))
+    distinct = persist(distinct)
+    read = persist(names.parts(distinct, "_name", universe, persist=persist).withColumnRenamed("raw", "_name"))
+    clear = F.filter("sectors", lambda s: ~F.contains(s, F.lit("|")))
+    spellings = salted_lookup(distinct, read, ["_name"]).withColumn("tokens", F.array_distinct(F.concat(F.array("stem"), clear, "legal")))
     return _named(link(spellings, own, "_name", company_contradicts, lambda x: F.size(x["sectors"]) == 0, persist), group, own)
