@@ -74,9 +74,8 @@ def map_names(typed: DataFrame, column: str, universe: DataFrame, persist=cut) -
                        size(a.sectors) = size(e.sectors) AND {names.covered("e.sectors", "a.sectors")} AS sectors, a.legal = e.legal AS legal) AS score
               FROM {{asked}} a JOIN {{near}} n ON n.typed = a.stem JOIN {{entries}} e ON e.stem = n.listed
               WHERE {names.covered("a.sectors", "e.sectors")}),
-            best AS (SELECT raw, max(score) AS score FROM scored GROUP BY raw)
-            SELECT s.raw, min(s.ticker) AS ticker FROM scored s JOIN best b ON s.raw = b.raw AND s.score = b.score
-            GROUP BY s.raw HAVING count(DISTINCT s.ticker) = 1
+            best AS (SELECT raw, ticker, rank() OVER (PARTITION BY raw ORDER BY score DESC) AS place FROM scored)
+            SELECT raw, min(ticker) AS ticker FROM best WHERE place = 1 GROUP BY raw HAVING count(DISTINCT ticker) = 1
             """,
             asked=asked,
             near=near,

@@ -140,9 +140,11 @@ def word_meanings(words: DataFrame, sectors: DataFrame, learned: DataFrame) -> D
           SELECT w.word, l.sector, 3, 0 FROM {{w}} w JOIN {{l}} l ON l.word = w.word
           UNION ALL
           SELECT typed, listed, 4, edits FROM {{slips}}),
-        best AS (SELECT word, min(struct(way, edits)) AS b FROM ways GROUP BY word)
-        SELECT w.word, array_join(array_sort(collect_set(w.sector)), '|') AS sector, CASE WHEN first(w.way) < 2 THEN 0 WHEN first(w.way) < 4 THEN 1 ELSE 2 END AS later
-        FROM ways w JOIN best b ON b.word = w.word AND w.way = b.b.way AND w.edits = b.b.edits GROUP BY w.word
+        every AS (SELECT word, collect_set(struct(way, edits, sector)) AS ws FROM ways GROUP BY word),
+        best AS (SELECT word, array_min(ws) AS b, ws FROM every)
+        SELECT word, array_join(array_sort(transform(filter(ws, w -> w.way = b.way AND w.edits = b.edits), w -> w.sector)), '|') AS sector,
+               CASE WHEN b.way < 2 THEN 0 WHEN b.way < 4 THEN 1 ELSE 2 END AS later
+        FROM best
         """,
         w=words,
         s=sectors,

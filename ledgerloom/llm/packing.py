@@ -15,8 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CAPACITY = 2048
-#: Parts into which the items of one size are ranked, so that a size that holds most items is no single task.
-PARTS = 64
+#: Least parts into which the items of one size are ranked, and items of a part, so that a size that holds most items is no single task.
+PARTS, ITEMS_A_PART = 64, 200_000
 
 
 def _largest(left: np.ndarray, most: int) -> int:
@@ -90,9 +90,9 @@ def _slots(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
     return rows, container
 
 
-def _ranked(df: DataFrame, by: list[str], key: str, name: str) -> DataFrame:
+def _ranked(df: DataFrame, by: list[str], key: str, name: str, parts: int) -> DataFrame:
     """``df`` with the rank from 0 of each row among the rows equal in ``by``, ordered by hash part and key."""
-    part = F.pmod(F.xxhash64(key), F.lit(PARTS)).alias("_part")
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).alias("_part")
     df = df.withColumn("_part", part)
     sums = df.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy(*by).orderBy("_part")) - F.col("_n")
@@ -106,7 +106,7 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
 
     An item larger than the capacity is cut into full pieces and a rest; no other is cut. ``start`` is
     the offset of the piece in its item. An item without size fits anywhere and is spread over the containers
-    there are. A null size counts as 0. Repeated rows are items of their own. ``sizes`` is read four times, so
+    there are. A null size counts as 0. Repeated rows are items of their own. ``sizes`` is read five times, so
     it should be a stored table.
     """
     spark = sizes.sparkSession
@@ -116,15 +116,17 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
     items = items.withColumn("rest", F.col("all") - F.col("full") * capacity)
     counts = {r["rest"]: r["n"] for r in items.where("rest > 0").groupBy("rest").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows, used = _slots(counts, capacity)
+    whole_items = items.where("full > 0").count()
+    parts = max(PARTS, -(-max([whole_items, *counts.values()]) // ITEMS_A_PART))
     slots = spark.createDataFrame(rows, "rest long, first long, end long, base long, k long")
     rest = (
-        _ranked(items.where("rest > 0"), ["rest"], "key", "rank")
+        _ranked(items.where("rest > 0"), ["rest"], "key", "rank", parts)
         .join(F.broadcast(slots), "rest")  # at most a few rows per size and filling, whatever the number of items
         .where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
         .select("key", F.col("full").alias("part"), (F.col("base") + F.floor((F.col("rank") - F.col("first")) / F.col("k"))).alias("container"), (F.col("full") * capacity).alias("start"), F.col("rest").alias("size"))
     )
     # containers filled by one piece come after the others, numbered by running sums over hash parts
-    cut = items.where("full > 0").withColumn("_part", F.pmod(F.xxhash64("key"), F.lit(PARTS)))
+    cut = items.where("full > 0").withColumn("_part", F.pmod(F.xxhash64("key"), F.lit(parts)))
     sums = cut.groupBy("_part").agg(F.sum("full").alias("_n"))
     starts = sums.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_start"))
     before = F.sum("full").over(W.partitionBy("_part").orderBy("key").rowsBetween(W.unboundedPreceding, 0)) - F.col("full")

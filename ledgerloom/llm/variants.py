@@ -121,11 +121,12 @@ def _grams(stem: Column) -> Column:
     return F.transform(cut, lambda g, i: F.concat(g, F.size(F.filter(F.slice(cut, F.lit(1), i + 1), lambda h: h == g)).cast("string")))
 
 
-def candidates(spellings: DataFrame, group: list[str], name: str) -> DataFrame:
+def candidates(spellings: DataFrame, group: list[str], name: str, persist=cut) -> DataFrame:
     """Pairs ``name_a < name_b`` of a group whose stems share one of their rarest grams."""
     grams = spellings.where(F.col("stem") != "").select(*group, name, F.explode(F.array_distinct(_grams(F.col("stem")))).alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = salted_lookup(grams, counts, ["gram"]).groupBy(*group, name).agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("all"))
+    grams = persist(grams)
+    counts = persist(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
+    ranked = salted_lookup(grams, counts, ["gram"], counts=counts, n="df").groupBy(*group, name).agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("all"))
     prefix = ranked.select(*group, name, F.explode(F.slice("all", 1, Q * E + 1)).alias("g")).select(*group, name, F.col("g.gram").alias("gram"))
     a, b = prefix.withColumnRenamed(name, "name_a"), prefix.withColumnRenamed(name, "name_b")
     return a.join(b, [*group, "gram"]).where("name_a < name_b").select(*group, "name_a", "name_b").distinct()
@@ -183,7 +184,7 @@ def weigh(spellings: DataFrame, group: list[str], name: str) -> DataFrame:
     n = spellings.select(F.count(F.lit(1)).alias("n"))
     counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     weight = F.log(F.lit(1.0) + F.col("n") / F.col("df"))
-    weighed = salted_lookup(each, counts.crossJoin(F.broadcast(n)), ["token"]).groupBy(*group, name).agg(
+    weighed = salted_lookup(each, counts.crossJoin(F.broadcast(n)), ["token"], counts=counts, n="df").groupBy(*group, name).agg(
         F.array_sort(F.collect_list(F.struct("token", weight.alias("weight")))).alias("weighed")
     )
     return spellings.join(weighed, [*group, name])
@@ -204,7 +205,7 @@ def link(spellings: DataFrame, group: list[str], name: str, contradicts, weak, p
         both = pairs.join(side("a"), [*group, "name_a"]).join(side("b"), [*group, "name_b"])
         return both.where(~contradicts(F.col("a"), F.col("b"), slips))
 
-    fits = checked(candidates(parts, group, name)).where(
+    fits = checked(candidates(parts, group, name, persist)).where(
         close(F.col("a.stem"), F.col("b.stem"), E) & (token_similarity(F.col("a.weighed"), F.col("b.weighed")) >= LEAST)
     )
     direct = persist(fits.select(*group, "name_a", "name_b", weak(F.col("a")).alias("weak_a"), weak(F.col("b")).alias("weak_b")))
