@@ -1,7 +1,7 @@
 """Differences between two copies of a table, found by descending a tree of checksums.
 
-Keys are hashed into a 32-bit key space whose prefixes are nested ranges. One pass over either side gives
-a checksum per smallest range; the levels above are sums of these. From the root on, only children of
+Keys are hashed into a 60-bit key space whose prefixes are nested ranges. One pass over either side gives
+a checksum per key and per small range; the levels above are sums of these. From the root on, only children of
 ranges that differ are looked at, and the values themselves are read and compared in the ranges
 that still differ at the last level.
 """
@@ -21,7 +21,9 @@ from ledgerloom.session import cut
 
 #: Unicode white space, as in the property White_Space (fixed values).
 SPACES = "\\u0009-\\u000D\\u0020\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
-BITS = 32
+BITS = 60
+#: Ranges are bisected further while more than this share of them differs.
+PAYS = 0.1
 
 
 @F.pandas_udf(StringType())
@@ -51,12 +53,15 @@ def _checksum(fields: list[str]) -> list[Column]:
     return [F.xxhash64(*values).alias("h1"), F.xxhash64(F.lit(7), *values).alias("h2")]
 
 
-def _leaves(df: DataFrame, keys: list[str], fields: list[str], version: list[str], depth: int, fan: int) -> DataFrame:
+def _key_sums(df: DataFrame, keys: list[str], fields: list[str], version: list[str]) -> DataFrame:
+    """``at, x``: the place of each key among the ranges, and the checksum of its row."""
     rows = current_rows(df, keys, _checksum(fields), version, "row")
-    leaf = F.shiftright(_position(keys), BITS - depth * fan)
-    mixed = F.xxhash64(*keys, "row.h1", "row.h2")
-    return rows.groupBy(leaf.alias("range")).agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(mixed).alias("x"), F.sum(F.shiftright(mixed, 24)).alias("s")
+    return rows.select(_position(keys).alias("at"), F.xxhash64(*keys, "row.h1", "row.h2").alias("x"))
+
+
+def _leaves(sums: DataFrame, shift: int) -> DataFrame:
+    return sums.groupBy(F.shiftright("at", shift).alias("range")).agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor("x").alias("x"), F.sum(F.shiftright("x", 24)).alias("s")
     )
 
 
@@ -66,6 +71,12 @@ def _level(leaves: DataFrame, shift: int) -> DataFrame:
     )
 
 
+def _unequal(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``parent``: the ranges whose checksums differ."""
+    both = a.select("range", F.struct("n", "x", "s").alias("p")).join(b.select("range", F.struct("n", "x", "s").alias("q")), "range", "full_outer")
+    return both.where(~F.col("p").eqNullSafe(F.col("q"))).select(F.col("range").alias("parent"))
+
+
 def differing_ranges(left: DataFrame, right: DataFrame, depth: int, fan: int) -> DataFrame:
     """Ids of the smallest ranges whose checksums differ, reached only through differing parents."""
     found = None
@@ -74,10 +85,7 @@ def differing_ranges(left: DataFrame, right: DataFrame, depth: int, fan: int) ->
         a, b = _level(left, shift), _level(right, shift)
         if found is not None:  # children of the ranges that differed one level up
             a, b = (x.join(found, F.shiftright(x["range"], fan) == F.col("parent"), "left_semi") for x in (a, b))
-        both = a.select("range", F.struct("n", "x", "s").alias("p")).join(
-            b.select("range", F.struct("n", "x", "s").alias("q")), "range", "full_outer"
-        )
-        found = both.where(~F.col("p").eqNullSafe(F.col("q"))).select(F.col("range").alias("parent"))
+        found = _unequal(a, b)
     return found.withColumnRenamed("parent", "range")
 
 
@@ -98,14 +106,21 @@ def copy_differences(
     Of several rows of a key the greatest ``version`` counts. Values are strings, compared in NFC with white
     space collapsed; null differs from the empty string. Rows whose keys are null are rows like others.
     Two empty tables, or a table against itself, give no row. Other columns are never read.
-    ``persist`` stores the small tables of range checksums, which every level reads.
+    ``persist`` stores the checksums by key and by range, which every level reads. Where many of the smallest ranges
+    differ, they are bisected further, down to single keys, until what is left to compare field by field is mostly unequal.
     """
     keep = keys + fields + [v for v in version if v not in keys + fields]
     a, b = candidate.select(keep), oracle.select(keep)
-    rows = max(1, a.count())
+    sums = [persist(_key_sums(x, keys, fields, version)) for x in (a, b)]
+    rows = max(1, sums[0].count())
     depth = min(BITS // fan, max(1, math.ceil(math.log(max(2, rows / leaf_rows), 2**fan))))
-    left, right = (persist(_leaves(x, keys, fields, version, depth, fan)) for x in (a, b))
+    left, right = (persist(_leaves(x, BITS - depth * fan)) for x in sums)
     ranges = persist(differing_ranges(left, right, depth, fan))
+    while depth < BITS // fan and 2 ** (depth * fan) < rows * 2**fan and ranges.count() > PAYS * min(rows, 2 ** (depth * fan)):
+        shift, parents = BITS - depth * fan, ranges.withColumnRenamed("range", "parent")
+        depth += 1
+        inside = [x.join(parents, F.shiftright(x["at"], shift) == F.col("parent"), "left_semi") for x in sums]
+        ranges = persist(_unequal(*(_leaves(x, BITS - depth * fan) for x in inside)).withColumnRenamed("parent", "range"))
     leaf = F.shiftright(_position(keys), BITS - depth * fan)
 
     def at_leaves(x: DataFrame, name: str) -> DataFrame:

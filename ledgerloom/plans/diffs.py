@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import exprs as X
@@ -14,9 +15,8 @@ from ledgerloom.sources.tables import table
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     """``filing_id, company_id, side`` of the two latest filings of filers that have two."""
-    two = ranked_filings(spark, folder).where("rank <= 2").select(F.col("id").alias("filing_id"), "company_id", "rank")
-    both = two.where("rank = 2").select("company_id")
-    return two.join(both, "company_id", "left_semi").select("filing_id", "company_id", F.when(F.col("rank") == 1, "new").otherwise("old").alias("side"))
+    two = ranked_filings(spark, folder).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("company_id"))).where("rank <= 2 AND n > 1")
+    return two.select(F.col("id").alias("filing_id"), "company_id", F.when(F.col("rank") == 1, "new").otherwise("old").alias("side"))
 
 
 _PAIRS = f"(SELECT id AS filing_id, company_id, CASE WHEN rank = 1 THEN 'new' ELSE 'old' END AS side FROM {_RANKED} WHERE rank <= 2 AND company_id IN (SELECT company_id FROM {_RANKED} WHERE rank = 2))"
@@ -149,9 +149,8 @@ def prior_pay(spark: SparkSession, folder: str) -> DataFrame:
     """Each row of compensation beside the same person's latest earlier year in the filing."""
     e = exec_rows(spark, folder).withColumn("who", F.lower(X.display_name(F.col("executive_name"))))
     years = e.groupBy("filing_id", "who", "year").agg(F.max("total").alias("total"))
-    a, b = years.alias("a"), years.alias("b")
-    j = a.join(b, (F.col("a.filing_id") == F.col("b.filing_id")) & (F.col("a.who") == F.col("b.who")) & (F.col("b.year") < F.col("a.year")), "left")
-    return j.groupBy(F.col("a.filing_id").alias("filing_id"), F.col("a.who").alias("who"), F.col("a.year").cast("long").alias("year")).agg(F.max_by("b.total", "b.year").alias("prior_total"), F.max("b.year").cast("long").alias("prior_year"))
+    w = W.partitionBy("filing_id", "who").orderBy("year")
+    return years.select("filing_id", "who", F.col("year").cast("long").alias("year"), F.lag("total").over(w).alias("prior_total"), F.lag("year").over(w).cast("long").alias("prior_year"))
 
 
 def peer_snapshot(spark: SparkSession, folder: str) -> DataFrame:

@@ -77,6 +77,12 @@ def policy_facts(spark: SparkSession, folder: str) -> DataFrame:
     return policies_of(table(spark, folder, "sections"))
 
 
+def policy_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each filing's sections, with their headings, hold the anchor of each policy."""
+    found = rules.candidates(table(spark, folder, "sections"), rules.POLICIES)
+    return found.groupBy("filing_id", F.col("rule").alias("policy")).agg(F.count(F.lit(1)).alias("matches"))
+
+
 def metric_facts_found(spark: SparkSession, folder: str) -> DataFrame:
     """Metrics of each filing."""
     return metrics_of(table(spark, folder, "sections"))
@@ -93,8 +99,9 @@ def alias_mentions(spark: SparkSession, folder: str) -> DataFrame:
     alias = u.select("ticker", F.inline(forms)).where(F.size(F.split("text", " ")) >= 2).groupBy("text", "ticker").agg(F.max("confidence").alias("confidence"))
     alias = alias.select(F.split("text", " ").alias("name"), "ticker", "confidence").withColumn("first", F.get("name", 0))
     s = table(spark, folder, "sections").where("text IS NOT NULL").select("id", T.words(F.col("text")).alias("ws"))
-    begun = s.select("id", F.posexplode("ws").alias("place", "first")).join(alias, "first")
-    hits = begun.join(s, "id").where(F.slice("ws", F.col("place") + 1, F.size("name")) == F.col("name"))
+    # the list of companies is of fixed size; so the words of a text stay where they are, and only hits are compared further
+    begun = s.select("id", "ws", F.posexplode("ws").alias("place", "first")).join(F.broadcast(alias), "first")
+    hits = begun.where(F.slice("ws", F.col("place") + 1, F.size("name")) == F.col("name"))
     return hits.groupBy(F.col("id").alias("section_id"), "ticker").agg((F.min("place") + 1).cast("long").alias("place"), F.max("confidence").cast("double").alias("confidence"))
 
 
@@ -211,7 +218,7 @@ def grep_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (text_search, search_counts, highlight_parts, sentence_counts, section_openers, policy_mentions, policy_facts, metric_facts_found, alias_mentions, company_mentions, event_runs, purchase_after_signup, name_matches, quality_gate, group_overlaps, without_self, panel_verdicts, catalog_reconcile, tag_histogram, fragment_text, fragment_nodes, heading_types, grep_lines)
+    for f in (text_search, search_counts, highlight_parts, sentence_counts, section_openers, policy_mentions, policy_facts, policy_matches, metric_facts_found, alias_mentions, company_mentions, event_runs, purchase_after_signup, name_matches, quality_gate, group_overlaps, without_self, panel_verdicts, catalog_reconcile, tag_histogram, fragment_text, fragment_nodes, heading_types, grep_lines)
 }
 
 _HEAD = "trim(regexp_replace(lower(regexp_replace(coalesce(heading, ''), '\\p{Cf}', '', 'g')), '[\\t-\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+', ' ', 'g'))"
@@ -222,6 +229,7 @@ _CLEAN = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 _WS_LIST = "list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
 
 ORACLES = {
+    "policy_matches": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT filing_id, '{r.name}' AS policy, CAST(sum(len(regexp_extract_all(CASE WHEN coalesce(heading, '') <> '' THEN heading || chr(10) || chr(10) ELSE '' END || text, '(?i){r.anchor}'))) AS BIGINT) AS matches FROM sections WHERE text <> '' GROUP BY 1" for r in rules.POLICIES) + ") WHERE matches > 0",
     "text_search": f"""WITH s AS (SELECT x.id, x.filing_id, x.text, string_split(lower(x.text), '{_Q}') AS p FROM sections x WHERE contains(lower(x.text), '{_Q}')),
 k AS (SELECT *, unnest(range(1, len(p))) AS k FROM s), h AS (SELECT k.*, f.company_id, f.filing_date, CAST(list_sum(list_transform(p[1:k], lambda z: length(z))) + (k - 1) * {len(_Q)} AS BIGINT) AS at_ FROM k JOIN {_FILINGS} f ON f.id = k.filing_id),
 t AS (SELECT * FROM h ORDER BY company_id, filing_date DESC, filing_id, id, at_ LIMIT 30), b AS (SELECT *, greatest(at_ - 140, 0) AS lo, least(at_ + {len(_Q)} + 140, length(text)) AS hi FROM t)
