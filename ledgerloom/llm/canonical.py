@@ -59,11 +59,12 @@ def map_names(typed: DataFrame, column: str, universe: DataFrame, persist=cut) -
     and repeated entries count once; other columns of either input are not read.
     """
     spark = typed.sparkSession
-    listed = universe.selectExpr("ticker", "name").distinct()
-    sectors = persist(names.lexicon(listed))
-    entries = names.parts(listed, "name", listed, sectors, persist=persist).join(listed.withColumnRenamed("name", "raw"), "raw")
-    entries = persist(entries)
-    asked = persist(names.parts(typed.selectExpr(f"{column} AS raw"), "raw", listed, sectors, persist=persist))
+    listed = universe.selectExpr("ticker", "name AS raw").distinct()
+    wanted = typed.selectExpr(f"{column} AS raw").distinct()
+    # both kinds of name are taken apart in one go
+    read = persist(names.parts(wanted.union(listed.select("raw")), "raw", universe, persist=persist))
+    entries = read.join(listed, "raw")
+    asked = spark.sql("SELECT r.* FROM {read} r LEFT SEMI JOIN {wanted} w ON w.raw <=> r.raw", read=read, wanted=wanted)
     near = stem_candidates(asked.select("stem").distinct(), entries.select("stem").distinct())
     matched = persist(
         spark.sql(

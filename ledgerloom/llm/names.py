@@ -166,7 +166,7 @@ def parts(names: DataFrame, column: str, universe: DataFrame, sectors: DataFrame
     learned = short_forms(tokens, _tokenised(universe, name), sectors)
     placed = tokens.selectExpr("raw", "posexplode(ws) AS (i, word)")
     legal = f"map_contains_key({_map(LEGAL)}, word)"
-    meanings = persist(word_meanings(placed.where(f"NOT {legal}").select("word").distinct(), sectors, learned))
+    meanings = word_meanings(placed.where(f"NOT {legal}").select("word").distinct(), sectors, learned)
     read = salted_lookup(placed, meanings, ["word"], "left")
     return names.sparkSession.sql(
         f"""

@@ -125,7 +125,7 @@ def candidates(spellings: DataFrame, group: list[str], name: str, persist=cut) -
     """Pairs ``name_a < name_b`` of a group whose stems share one of their rarest grams."""
     grams = spellings.where(F.col("stem") != "").select(*group, name, F.explode(F.array_distinct(_grams(F.col("stem")))).alias("gram"))
     grams = persist(grams)
-    counts = persist(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     ranked = salted_lookup(grams, counts, ["gram"], counts=counts, n="df").groupBy(*group, name).agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("all"))
     prefix = ranked.select(*group, name, F.explode(F.slice("all", 1, Q * E + 1)).alias("g")).select(*group, name, F.col("g.gram").alias("gram"))
     a, b = prefix.withColumnRenamed(name, "name_a"), prefix.withColumnRenamed(name, "name_b")
@@ -267,7 +267,8 @@ def link_companies(df: DataFrame, group: list[str], name: str, universe: DataFra
     """Link the spellings of organisations; null and empty names link to nothing, repeated rows count once."""
     distinct, own = _own_names(df, group, name)
     distinct = persist(distinct)
-    read = persist(names.parts(distinct, "_name", universe, persist=persist).withColumnRenamed("raw", "_name"))
+    read = names.parts(distinct, "_name", universe, persist=persist).withColumnRenamed("raw", "_name")
     clear = F.filter("sectors", lambda s: ~F.contains(s, F.lit("|")))
-    spellings = salted_lookup(distinct, read, ["_name"]).withColumn("tokens", F.array_distinct(F.concat(F.array("stem"), clear, "legal")))
+    # a name is there once a group, so none holds many of the rows
+    spellings = distinct.join(read, "_name").withColumn("tokens", F.array_distinct(F.concat(F.array("stem"), clear, "legal")))
     return _named(link(spellings, own, "_name", company_contradicts, lambda x: F.size(x["sectors"]) == 0, persist), group, own)
