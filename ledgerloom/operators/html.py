@@ -136,11 +136,43 @@ def find_heading(root: Node, pattern: str) -> tuple[Node, str] | None:
     return None
 
 
-def section_below(html: str | None, pattern: str, ends: str, *, after: int = 0, blocks: int = 800, chars: int = 200_000) -> dict | None:
+def _collected(texts: Iterator[str], stop: re.Pattern, after: int, blocks: int, chars: int) -> str:
+    """Texts of blocks up to one that looks like the next heading, once ``after`` characters are there; equal blocks count once."""
+    kept: dict[str, None] = {}
+    size = 0
+    for text in texts:
+        if not text or text in kept:
+            continue
+        if (size >= after and len(text) <= HEADING_CHARS and stop.search(text)) or len(kept) >= blocks or size >= chars:
+            break
+        kept[text] = None
+        size += len(text)
+    return "\n\n".join(kept)[:chars]
+
+
+def _siblings(block: Node) -> Iterator[str]:
+    siblings = block.parent.children if block.parent else []
+    start = next((i for i, c in enumerate(siblings) if c is block), len(siblings))
+    for c in siblings[start + 1 :]:
+        yield SPACES.sub(" ", c).strip() if isinstance(c, str) else c.clean()
+
+
+def _flow(root: Node, block: Node) -> Iterator[str]:
+    """Texts of the innermost blocks after ``block`` in the order of the document, wherever they stand."""
+    inside = {id(n) for n in block.walk()}
+    passed = False
+    for n in root.walk():
+        passed = passed or n is block
+        if passed and id(n) not in inside and n.tag in BLOCKS and not any(isinstance(c, Node) and c.tag in BLOCKS for c in n.children):
+            yield n.clean()
+
+
+def section_below(html: str | None, pattern: str, ends: str, *, after: int = 0, blocks: int = 800, chars: int = 200_000, least: int = 0) -> dict | None:
     """Heading, text, confidence and method of the section that a heading opens; null if there is no such heading.
 
     Siblings after the heading's block are collected until one that looks like the next heading, once ``after``
-    characters are there; equal blocks count once. A heading without text gives less confidence.
+    characters are there; equal blocks count once. If that gives fewer than ``least`` characters, as where the heading has a wrapper of
+    its own, the blocks that follow in the document are collected instead, if they give more. A heading without text gives less confidence.
     """
     root = parse(html)
     at = find_heading(root, pattern)
@@ -148,23 +180,13 @@ def section_below(html: str | None, pattern: str, ends: str, *, after: int = 0,
         return None
     node, way = at
     block = node if node.tag in BLOCKS or node.parent is None else node.parent
-    heading = node.clean()
     stop = re.compile(ends, re.I)
-    texts: list[str] = []
-    siblings = block.parent.children if block.parent else []
-    start = next((i for i, c in enumerate(siblings) if c is block), len(siblings))
-    for c in siblings[start + 1 :]:
-        text = SPACES.sub(" ", c).strip() if isinstance(c, str) else c.clean()
-        if not text or text in texts:
-            continue
-        size = sum(map(len, texts))
-        if size >= after and len(text) <= HEADING_CHARS and stop.search(text):
-            break
-        if len(texts) >= blocks or size >= chars:
-            break
-        texts.append(text)
-    body = "\n\n".join(texts)[:chars]
-    return {"heading": heading, "text": body, "confidence": 0.9 if body else 0.55, "method": f"{way}-and-sibling-blocks" if body else "heading-only"}
+    body, method = _collected(_siblings(block), stop, after, blocks, chars), "sibling-blocks"
+    if len(body) < least:
+        flow = _collected(_flow(root, block), stop, after, blocks, chars)
+        if len(flow) > len(body):
+            body, method = flow, "document-flow"
+    return {"heading": node.clean(), "text": body, "confidence": 0.9 if body else 0.55, "method": f"{way}-and-{method}" if body else "heading-only"}
 
 
 def table_cells(root: Node) -> list[list[list[str]]]:
@@ -250,7 +272,7 @@ def all_sections(df: DataFrame, key: str, html: str, kinds: list[SectionKind] =
             for k, h in zip(pdf[key], pdf[html]):
                 for kind in kinds:
                     rule = f"^(?!.*(?:{kind.never})).*(?:{kind.heading})"
-                    found = section_below(h, rule, kind.ends, after=kind.after, blocks=kind.blocks, chars=kind.chars)
+                    found = section_below(h, rule, kind.ends, after=kind.after, blocks=kind.blocks, chars=kind.chars, least=kind.after)
                     if found and (found["text"] or kind.heading_only):
                         rows.append((k, kind.name, *found.values()))
             yield pd.DataFrame(rows, columns=[key, "section_type", "heading", "text", "confidence", "method"])

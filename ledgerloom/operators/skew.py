@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: A key is hot if it has more than this share of all rows, so there are at most 1 / SHARE hot keys ...
 SHARE = 0.001
@@ -27,10 +28,15 @@ def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str =
     """Join ``big`` to ``small``, of which each key has few rows, with every hot key of ``big`` dealt out over many tasks.
 
     The rows of a hot key in ``big`` are dealt out by a hash of the whole row, and its rows in ``small`` are repeated per
-    salt; other keys are joined as they are. Identical rows of ``big`` share a salt. ``big`` is read twice unless ``counts`` of its
-    keys are given, so it should be a stored table or a plain scan. ``how`` is inner, left, left_semi or left_anti.
+    salt; other keys are joined as they are. Identical rows of ``big`` share a salt. Which keys are hot is found at once, by a count
+    of ``big`` unless ``counts`` of its keys are given, so that it should be a stored table or a plain scan; where none is, the
+    join is a plain one. ``how`` is inner, left, left_semi or left_anti.
     """
-    hot = F.broadcast(hot_keys(big.select(*keys), keys, counts, n))  # at most 1 / SHARE rows
+    found = hot_keys(big.select(*keys), keys, counts, n).collect()  # at most 1 / SHARE rows
+    if not found:
+        return big.join(small, keys, how)
+    types = [big.schema[k] for k in keys]
+    hot = F.broadcast(big.sparkSession.createDataFrame([tuple(r) for r in found], StructType([*types, StructField("_salts", IntegerType())])))
     row = F.xxhash64(*[F.col(f"`{c}`") for c in big.columns])
     salts = F.coalesce("_salts", F.lit(1))
     dealt = big.join(hot, keys, "left").withColumn("_salt", F.pmod(row, salts).cast("int")).drop("_salts")

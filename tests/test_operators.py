@@ -351,3 +351,17 @@ def test_key_deleted_and_created_again(spark):
     rows = refs.select(F.lit("t").alias("target"), "key", "at", "id")
     for state in (orphans.fold(deltas.unionByName(exist)), orphans.fold(exist.where("exist_delta < 0"), orphans.fold(deltas.unionByName(exist.where("exist_delta > 0"))))):
         assert [r["id"] for r in orphans.orphan_rows(rows, orphans.orphan_keys(state, timed=("t",))).collect()] == [1]
+
+
+def test_salted_lookup_of_hot_keys(spark, monkeypatch):
+    from ledgerloom.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST", 5)
+    big = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(60)] + [(None, 99)], "k string, v int")
+    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), (None, 4)], "k string, w int")
+    assert {r["k"]: r["_salts"] for r in skew.hot_keys(big, ["k"]).collect()} == {"hot": 8}
+    plain = lambda df: sorted(map(str, (tuple(r) for r in df.select(*sorted(df.columns)).collect())))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert plain(salted_lookup(big, small, ["k"], how)) == plain(big.join(small, "k", how))
+    counts = big.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    assert plain(salted_lookup(big, small, ["k"], counts=counts, n="c")) == plain(big.join(small, "k"))

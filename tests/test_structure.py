@@ -35,3 +35,15 @@ def test_parameters_and_states(spark):
     got = [r[0] for r in states.select(S.reset_state(*[F.col(c) for c in "abcde"])).collect()]
     assert got == ["blocked", "audit-failed", "clean", "catalog-stale", "pending-known", "pending-new"]
     assert [r[0] for r in states.limit(2).select(S.availability(F.col("a"), F.col("b"))).collect()] == ["degraded", "in_db"]
+
+
+def test_section_of_a_heading_in_a_wrapper():
+    from ledgerloom.operators import html
+
+    page = "<div><div><h2>Pay Ratio</h2></div></div><div><p>One two three.</p><p>One two three.</p><div><p>Four five.</p></div></div><h2>Director Compensation</h2><p>Other.</p>"
+    got = html.section_below(page, "pay ratio", "^director compensation$", least=10)
+    assert (got["text"], got["method"]) == ("One two three.\n\nFour five.", "exact-heading-and-document-flow")
+    assert html.section_below(page, "pay ratio", "^director compensation$")["method"] == "heading-only"
+    near = "<h2>Pay Ratio</h2><p>Here it is, at length.</p><h2>Director Compensation</h2>"
+    assert html.section_below(near, "pay ratio", "^director compensation$", least=10)["method"] == "exact-heading-and-sibling-blocks"
+    assert html.section_below("", "x", "y", least=1) is None and html.section_below(None, "x", "y") is None
